@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
+from .ann import op5_nearest_neighbours
+from .chat import op6_chat_formatting
 from .packing import op8_best_fit_packing
+from .pieces import op7_sentencepiece
+from .quality import op9_quality_classifier
 from .records import op1_token_records
+from .topk import OP2_SQL, op2_exact_topk
 
 QUERIES = {
     "op1_token_records": op1_token_records,
+    "op2_exact_topk": op2_exact_topk,
+    "op5_nearest_neighbours": op5_nearest_neighbours,
+    "op6_chat_formatting": op6_chat_formatting,
+    "op7_sentencepiece": op7_sentencepiece,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_quality_classifier": op9_quality_classifier,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_exact_topk": OP2_SQL}
