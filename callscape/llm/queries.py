@@ -8,11 +8,13 @@ from .packing import op8_best_fit_packing
 from .pieces import op7_sentencepiece
 from .quality import op9_quality_classifier
 from .records import op1_token_records
+from .substrings import op4_substring_dedup
 from .topk import OP2_SQL, op2_exact_topk
 
 QUERIES = {
     "op1_token_records": op1_token_records,
     "op2_exact_topk": op2_exact_topk,
+    "op4_substring_dedup": op4_substring_dedup,
     "op5_nearest_neighbours": op5_nearest_neighbours,
     "op6_chat_formatting": op6_chat_formatting,
     "op7_sentencepiece": op7_sentencepiece,

@@ -66,3 +66,32 @@ LONG, INT, STRING, BINARY, DOUBLE = T.LongType(), T.IntegerType(), T.StringType(
 
 def schema(**columns: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(k, v) for k, v in columns.items()])
+
+#: Bits of the pre-filter below; as rows of 64 bits it is small enough to broadcast, whatever it is made from.
+FILTER_BITS = 1 << 22
+
+
+def split_by_filter(big: DataFrame, keys: list[str], small: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows that surely have no partner in `small`, rows that may have one), without a shuffle of `big`.
+
+    A one-hash Bloom filter of fixed size: it only saves shuffling, the join that follows decides. Filled up, it
+    lets all rows through.
+    """
+    slot = F.pmod(F.xxhash64(*keys), F.lit(FILTER_BITS))
+    marked = small.select(slot.alias("slot")).groupBy(F.floor(F.col("slot") / 64).alias("filter word")).agg(F.bit_or(_shifted("slot")).alias("filter bits"))
+    words = F.broadcast(marked)
+    probed = big.withColumn("filter slot", slot).withColumn("filter word", F.floor(F.col("filter slot") / 64)).join(words, "filter word", "left")
+    there = F.coalesce(F.col("filter bits").bitwiseAND(_shifted("filter slot")) != 0, F.lit(False))
+    return probed.where(~there).select(*big.columns), probed.where(there).select(*big.columns)
+
+
+def _shifted(column: str):
+    return F.expr(f"shiftleft(1L, cast(pmod(`{column}`, 64) as int))")
+
+
+def settle(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of finished steps now, not when the driver next runs out of heap."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
