@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .ann import op5_nearest_neighbours
 from .chat import op6_chat_formatting
+from .jaccard import op10_ngram_jaccard_join
 from .packing import op8_best_fit_packing
 from .pieces import op7_sentencepiece
 from .quality import op9_quality_classifier
@@ -20,6 +21,7 @@ QUERIES = {
     "op7_sentencepiece": op7_sentencepiece,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_quality_classifier": op9_quality_classifier,
+    "op10_ngram_jaccard_join": op10_ngram_jaccard_join,
 }
 
 ORACLE_SQL: dict[str, str] = {"op2_exact_topk": OP2_SQL}
