@@ -21,6 +21,7 @@ from .syntax import Lit, Op, Query, Ref, parse
 #: Properties and their types.
 NODE_PROPS = {"fqn": "str", "file": "str", "byte_start": "num", "byte_end": "num", "kind": "str", "id": "num"}
 EDGE_PROPS = {"kind": "str", "from": "num", "to": "num"}
+TEXT_TESTS = {"CONTAINS": F.contains, "STARTS": F.startswith, "ENDS": F.endswith}
 MAX_HOPS = 3
 #: Rows that API mode lets a scan or a hop produce.
 ROW_CAP = 100_000
@@ -92,6 +93,24 @@ class Compiler:
             return F.coalesce(v.col, F.lit(False))
         return F.lit(False) if v.kind == "null" else v.col.isNotNull()
 
+    def holds(self, x) -> Column:
+        """Form of a predicate for a filter: true where it holds, false or null elsewhere, so that scans can take it over."""
+        if isinstance(x, Op) and x.name in ("AND", "OR"):
+            a, b = map(self.holds, x.args)
+            return a & b if x.name == "AND" else a | b
+        if isinstance(x, Op) and x.name in ("<", ">", "<=", ">=", "CONTAINS", "STARTS", "ENDS"):
+            a, b = map(self.expr, x.args)
+            if x.name in ("CONTAINS", "STARTS", "ENDS"):
+                return TEXT_TESTS[x.name](a.col, b.col) if a.kind == b.kind == "str" else F.lit(False)
+            if self.comparable(a, b):
+                test = self.raw(x.name, a, b)
+                return test if x.name in ("<", ">") else test | a.col.isNull() | b.col.isNull()
+        return self.truth(self.expr(x))
+
+    def raw(self, op: str, a: Typed, b: Typed) -> Column:
+        left, right = self.promote(a, b)
+        return {"<": left < right, ">": left > right, "<=": left <= right, ">=": left >= right}[op]
+
     def apply(self, x: Op, args: list[Typed]) -> Column:
         if x.name in ("AND", "OR"):
             a, b = map(self.truth, args)
@@ -111,8 +130,7 @@ class Compiler:
                 warnings.warn("`=~` is always false; pass real_regex=True to match", stacklevel=2)
                 return F.lit(False)
             return F.coalesce(F.rlike(a.col, F.concat(F.lit("^(?:"), b.col, F.lit(")$"))), F.lit(False)) if a.kind == b.kind == "str" else F.lit(False)
-        test = {"CONTAINS": F.contains, "STARTS": F.startswith, "ENDS": F.endswith}[x.name]
-        return F.coalesce(test(a.col, b.col), F.lit(False)) if a.kind == b.kind == "str" else F.lit(False)
+        return F.coalesce(TEXT_TESTS[x.name](a.col, b.col), F.lit(False)) if a.kind == b.kind == "str" else F.lit(False)
 
     @staticmethod
     def promote(a: Typed, b: Typed) -> tuple[Column, Column]:
@@ -136,9 +154,7 @@ class Compiler:
         equal = F.lit(op in ("<=", ">="))
         if not self.comparable(a, b):
             return equal
-        left, right = self.promote(a, b)
-        test = {"<": left < right, ">": left > right, "<=": left <= right, ">=": left >= right}[op]
-        return F.coalesce(test, equal)
+        return F.coalesce(self.raw(op, a, b), equal)
 
     # pattern
 
@@ -185,7 +201,7 @@ class Compiler:
                 self.bound[rel.var] = ("edge", i)
             self.bound[node.var or f"_n{i + 1}"] = ("node", i + 1)
         if q.where is not None:
-            rows = rows.where(self.truth(self.expr(q.where)))
+            rows = rows.where(self.holds(q.where))
         return Compiled(*self.project(q, rows), stages)
 
     # projection, distinct, order, slices
