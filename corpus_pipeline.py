@@ -45,7 +45,7 @@ STAGES = [
     ("best-fit packing", best_fit_packing),
 ]
 
-#: No stage but the first could be left in SQL; the stages are tested against brute force instead.
+#: SQL cannot express the stages; they are tested against brute force (tests/llm).
 ORACLE_SQL = None
 
 
