@@ -47,12 +47,13 @@ def _c_like(*types: tuple[str, str]) -> tuple[tuple[str, str], ...]:
 
 
 BACKTICK = r'"(?:\\.|[^"\\\n])*"|\'(?:\\.|[^\'\\\n])*\'|`(?:\\.|[^`\\])*`'
-#: Words that look like calls or methods and are not.
+#: Words that look like calls or methods and are not; in PHP there are more.
 NOT_NAMES = frozenset(
     "if for while switch catch return function fn def class new sizeof match elseif else do try unless until select case func type "
-    "await typeof instanceof in of and or not with lock using foreach synchronized super this import require_once include array list "
-    "isset unset empty echo print exit die struct enum trait interface impl mod pub let const var val import package yield throw delete".split()
+    "await typeof instanceof in of and or not with lock using foreach synchronized super this import "
+    "struct enum trait interface impl mod pub let const var val package yield throw delete".split()
 )
+NOT_NAMES_PHP = NOT_NAMES | frozenset("array list isset unset empty echo print exit die include require_once".split())
 METHOD_C = rf"(?m)(?:^|(?<=[{{}};,]))[ \t]*(?:(?:@\w+(?:\([^)]*\))?|public|private|protected|internal|static|final|abstract|virtual|override|async|sealed|extern|synchronized|native|default|inline|constexpr|explicit|readonly|get|set|\*)\s+)*(?:[\w$<>\[\],.?*&:]+[ \t*&]+)?(?P<name>~?{ID})[ \t]*\((?:[^(){{}};]|\([^()]*\))*\)[^(){{}};=]*(?=\{{|;)"
 
 RULES: dict[str, Rules] = {
@@ -171,13 +172,14 @@ def lexical(lang: str, data: bytes) -> Facts:
     text = data.decode("latin-1")
     bare, code = blank(text, rules)
     name_of = lambda s: s.encode("latin-1").decode("utf-8", "replace")
+    reserved = NOT_NAMES_PHP if lang == "php" else NOT_NAMES if rules.news else NOT_NAMES - {"new"}
     end_of = lua_end if rules.blocks == "ends" else closing
     bodies, named = _spans(code, rules.containers), set()
     interfaces = _spans(code, r"\binterface\s+[^;{}()]*\{")
     for kind, pattern in rules.defs:
         for m in re.finditer(pattern, code):
             name, at = m["name"], m.start("name")
-            if at in named or name in NOT_NAMES and not (name == "new" and not rules.news):
+            if at in named or pattern is METHOD_C and name in reserved:
                 continue
             start = m.start() + len(m[0]) - len(m[0].lstrip())
             own = kind
@@ -209,7 +211,7 @@ def lexical(lang: str, data: bytes) -> Facts:
         group = "name" if m["name"] else "made"
         at = m.end(group)
         name = m[group]
-        if m.start(group) in named or name in NOT_NAMES and not (name == "new" and not rules.news):
+        if m.start(group) in named or name in reserved:
             continue
         facts.calls.append((name_of(name), name_of(m["receiver"]) if m["receiver"] and m["receiver"] not in ("new",) else None, m.start(group)))
     facts.calls = list(dict.fromkeys(facts.calls))
