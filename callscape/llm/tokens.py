@@ -10,12 +10,22 @@ whole. `Encoder(path, cached=False)` is the plain path the tests compare with.
 
 from __future__ import annotations
 
+import sys
+from array import array
 from functools import lru_cache
 
-import numpy as np
-
 #: Punctuation that the pre-tokeniser cuts off a run of letters as one piece.
 TAIL = ",.!?;:|*&%$#"
+#: Fixed value: the first code point after Latin Extended-A.
+LATIN_END = "\u0180"
+
+
+def pack(ids: list[int]) -> bytes:
+    """Little-endian unsigned 32-bit integers."""
+    packed = array("I", ids)
+    if sys.byteorder == "big":
+        packed.byteswap()
+    return packed.tobytes()
 
 
 def byte_alphabet() -> dict[int, str]:
@@ -53,17 +63,20 @@ class Encoder:
         self.cache = _Cache(self._chunk)
 
     def _library(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return pack(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def _letters(self, word: str) -> bytes | None:
         if word.isascii():
             mapped = word.lower()
         else:
-            normal = self.normalizer.normalize_str(word)
+            if max(word) < LATIN_END and "\u0130" not in word:
+                normal = word.lower()  # composed already, and lower-cased letter by letter
+            else:
+                normal = self.normalizer.normalize_str(word)
             if not normal.isalpha():
                 return None
             mapped = normal.encode().decode("latin-1").translate(self.alphabet)
-        return np.array([t.id for t in self.model.tokenize(mapped)], dtype="<u4").tobytes()
+        return pack([t.id for t in self.model.tokenize(mapped)])
 
     def _chunk(self, chunk: str) -> bytes:
         if not chunk:
@@ -86,12 +99,14 @@ class Encoder:
             self.cache = _Cache(self._chunk)
         if len(self.tails) > 10_000:
             self.tails.clear()
-        cache, out = self.cache, []
-        for i, chunk in enumerate(text.replace("\n", " ").replace("\t", " ").split(" ")):
-            if i % 100_000 == 0 and len(cache) > 2 * self.keep:
-                cache.clear()
-            out.append(cache[chunk])
-        return b"".join(out)
+        chunks = text.replace("\n", " ").replace("\t", " ").split(" ")
+        if len(chunks) <= self.keep:
+            return b"".join(map(self.cache.__getitem__, chunks))
+        parts = []
+        for at in range(0, len(chunks), self.keep):
+            parts.extend(map(self.cache.__getitem__, chunks[at : at + self.keep]))
+            self.cache.clear()
+        return b"".join(parts)
 
 
 @lru_cache(maxsize=2)
