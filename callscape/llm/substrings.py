@@ -183,11 +183,12 @@ def covered(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, batches
     settle(spark)
     found = materialize(windows(docs, touched, window, anchor), "windows")
     least = found.select("doc_id", F.explode("hashes").alias("h")).groupBy("h").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("last")).where("least < last")
+    least = materialize(least, "least")  # stored, so that a hot window's side of the join can be split
     every = found.select("doc_id", "tkey", F.explode(F.arrays_zip("starts", "hashes")).alias("w")).select("doc_id", "tkey", "w.starts", F.col("w.hashes").alias("h"))
     late = every.join(least, "h").where("doc_id > least").groupBy("doc_id", "tkey").agg(F.sort_array(F.collect_list("starts")).alias("starts"))
     copies = status.where("doc_id > first").select("doc_id", "tkey", F.lit(None).cast("array<int>").alias("starts"))
     out = materialize(late.unionByName(copies), "covered")
-    for done in (*index.runs, marks, touched, found, status):
+    for done in (*index.runs, marks, touched, found, status, least):
         release(done)
     settle(spark)
     return out
