@@ -8,8 +8,9 @@
 2. Each node is compared with one leader, the one it shares most with. What is
    linked is one component from here on.
 3. Where n-grams still join nodes of different components, each such node is a
-   probe of the other component. This finds every remaining link between
-   components; links within one need no proof.
+   probe of the other component, unless the sizes, or the number of prefix
+   n-grams that it shares with the component, rule a link out. This finds
+   every remaining link between components; links within one need no proof.
 
 Comparing means: the sets of a component, or of one of its parts where it is
 large, are stored in a trie, most frequent n-gram first, with single-child
@@ -46,7 +47,7 @@ SHINGLE = 5
 #: The threshold as a ratio of whole numbers: PER * intersection >= LEAST * union.
 LEAST, PER = 80, 100
 #: Most frequent n-grams to remember for the order, and n-grams of a batch within which recurrence is counted.
-HOT, BATCH = 50_000, 2_000_000
+HOT, BATCH = 1_000_000, 6_000_000
 #: N-grams of the sets that one part of a component, or one share of its probes, may hold.
 PART = 400_000
 
@@ -131,7 +132,8 @@ class Trie:
                     lo = hi
         return made[0]
 
-    def links(self, x: np.ndarray) -> list[int]:
+    def links(self, x: np.ndarray, one: bool = False) -> list[int]:
+        """Numbers of the stored sets that link with x; with `one`, the first that is found."""
         place = np.minimum(np.searchsorted(self.universe, x), len(self.universe) - 1)
         there = np.zeros(len(self.universe), np.bool_)
         there[place[self.universe[place] == x]] = True
@@ -143,6 +145,8 @@ class Trie:
             for i in ends:
                 if PER * overlap >= LEAST * (n + depth - overlap):
                     out.append(i)
+                    if one:
+                        return out
             if children and overlap + min(n - overlap, high - depth) >= required(n, low):
                 todo += [(c, overlap) for c in children]
         return out
@@ -152,25 +156,34 @@ def frequent(docs: DataFrame) -> np.ndarray:
     """Hashes of the n-grams that recur most within batches, most frequent first."""
 
     def run(batches):
-        waiting, size = [], 0
+        waiting, size = {}, 0
         for batch in batches:
             for text in batch["text"]:
-                waiting.append(shingles(text.as_py()))
-                size += len(waiting[-1])
+                own = shingles(text.as_py())
+                if waiting.setdefault(set_key(own), own) is own:  # copies count once
+                    size += len(own)
                 if size >= BATCH:
                     yield count(waiting)
-                    waiting, size = [], 0
+                    waiting, size = {}, 0
         if waiting:
             yield count(waiting)
 
     def count(sets):
-        h, n = np.unique(np.concatenate(sets), return_counts=True)
-        keep = n >= max(4, len(sets) // 500)
+        h, n = np.unique(np.concatenate(list(sets.values())), return_counts=True)
+        keep = n >= 2
         return pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(n[keep])], ["h", "n"])
 
     found = docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-    rows = found.orderBy(F.desc("n"), "h").limit(HOT).collect()
-    return np.array([r.h for r in rows], dtype=np.int64).view(np.uint64)
+    found = materialize(found, "frequent")
+    least, room = None, HOT
+    for r in sorted(found.groupBy("n").count().collect(), key=lambda r: -r.n):  # one row a count, of which there are few
+        room -= r["count"]
+        if room < 0:
+            break
+        least = r.n
+    rows = found.where(F.col("n") >= F.lit(least if least is not None else 2**62)).toPandas().sort_values(["n", "h"], ascending=[False, True])
+    release(found)
+    return rows["h"].to_numpy(np.int64).view(np.uint64)
 
 
 def sets(docs: DataFrame, hot: np.ndarray) -> DataFrame:
@@ -191,8 +204,11 @@ def sets(docs: DataFrame, hot: np.ndarray) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, skey long, prefix array<long>")
 
 
-def compare(docs: DataFrame, nodes: DataFrame, work: DataFrame) -> DataFrame:
-    """Links (a, b) found by `work`: rows (target, part, share, skey, probe) of probes and of stored sets."""
+def compare(docs: DataFrame, nodes: DataFrame, work: DataFrame, one: bool = False) -> DataFrame:
+    """Links (a, b) found by `work`: rows (target, part, share, skey, probe) of probes and of stored sets.
+
+    With `one`, a probe needs no second link with a part: where its sets are in one component already.
+    """
     rows = materialize(work.join(nodes.select("skey", "doc_id"), "skey"), "work")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     near = split_by_filter(texts, ["doc_id"], rows.select("doc_id").distinct())[1]
@@ -210,13 +226,27 @@ def compare(docs: DataFrame, nodes: DataFrame, work: DataFrame) -> DataFrame:
             trie = Trie([own[k, False] for k in stored])
             for (key, probe), s in own.items():
                 if probe:
-                    out += [(key, stored[i]) for i in trie.links(s) if stored[i] != key]
+                    out += [(key, stored[i]) for i in trie.links(s, one) if stored[i] != key]
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
     joined = near.join(rows, "doc_id").select("target", "part", "share", "skey", "probe", "text")
     return materialize(joined.groupBy("target", "part", "share").applyInPandas(run, "a long, b long").distinct(), "links")
 
 
+def near_sizes(n, m):
+    return (PER * F.least(n, m) >= LEAST * F.greatest(n, m)).cast("boolean")
+
+
+def shared_prefix(n, m):
+    """Least number of prefix n-grams that linking sets of n and m elements share.
+
+    Of the two prefixes let x's end first in the global order. What the sets share up to there is in both prefixes; beyond it
+    x has no more than its n - prefix_length(n) elements left.
+    """
+    rest = lambda k: F.ceil(LEAST * k / PER) - 1
+    return F.ceil(LEAST * (n + m) / (PER + LEAST)) - F.greatest(rest(n), rest(m))
+
+
 def deal(stored: DataFrame, probes: DataFrame) -> DataFrame:
     """Work for `compare` from (target, skey, n): stored sets in parts, probes in shares, both of bounded size, each part with each share."""
     count = lambda df, name: df.groupBy("target").agg(F.ceil(F.sum("n") / PART).alias(name))
@@ -252,10 +282,13 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     marks = materialize(sets(docs, frequent(docs)), "sets")
     nodes = marks.where("doc_id is not null and n > 0").groupBy("skey").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
     posts = marks.where("doc_id is not null").select("skey", "n", F.explode("prefix").alias("h"))
-    leaders = posts.groupBy("h").agg(F.min("skey").alias("leader"), F.max("skey").alias("last")).where("leader < last").select("h", "leader")
+    first_of = posts.groupBy("h").agg(F.min(F.struct("skey", "n")).alias("m"), F.max("skey").alias("last")).where("m.skey < last")
+    leaders = materialize(first_of.select("h", F.col("m.skey").alias("leader"), F.col("m.n").alias("leader_n")), "leaders")
     posts = materialize(posts.join(leaders, "h").distinct(), "posts")
     settle(spark)
-    led = posts.where("skey <> leader").groupBy("skey", "n", "leader").count()
+    # what cannot link is not compared; the second round does not rely on this one
+    led = posts.where("skey <> leader").where(near_sizes(F.col("n"), F.col("leader_n"))).groupBy("skey", "n", "leader", "leader_n").count()
+    led = led.where(F.col("count") >= shared_prefix(F.col("n"), F.col("leader_n")))
     led = led.groupBy("skey", "n").agg(F.max_by("leader", F.struct("count", "leader")).alias("target"))
     led = materialize(led, "led")
     heads = led.select(F.col("target").alias("skey")).distinct().join(nodes, "skey").select(F.col("skey").alias("target"), "skey", "n")
@@ -265,12 +298,20 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     named = posts.select("h", "skey", "n").join(known.select(F.col("v").alias("skey"), "label"), "skey", "left").withColumn("label", F.coalesce("label", "skey"))
     named = materialize(named, "named")
     open_ = named.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("h")
+    open_ = materialize(open_, "open")  # stored, so that a hot n-gram's side of the join can be split
     contested = materialize(named.join(open_, "h"), "contested")
-    sides = contested.select("h", F.col("label").alias("target")).distinct()
-    probes = contested.join(sides, "h").where("label > target").select("target", "skey", "n").distinct()
-    stored = contested.select(F.col("label").alias("target"), "skey", "n").distinct()
-    second = compare(docs, nodes, deal(stored, probes))
-    for done in (posts, led, named, contested):
+    sides = materialize(contested.groupBy("h", F.col("label").alias("target")).agg(F.min("n").alias("low"), F.max("n").alias("high")), "sides")
+    n = F.col("n")
+    pairs = contested.join(sides, "h").where((F.col("label") > F.col("target")) & (PER * F.col("high") >= LEAST * n) & (LEAST * F.col("low") <= PER * n))
+    pairs = pairs.groupBy("target", "skey", "n").agg(F.count("*").alias("count"), F.min("low").alias("low"), F.max("high").alias("high"))
+    # sizes of the component that could link; the bound is least at one of the ends
+    low, high = F.greatest("low", F.ceil(LEAST * n / PER)), F.least("high", F.floor(PER * n / LEAST))
+    probes = pairs.where((low <= high) & (F.col("count") >= F.least(shared_prefix(n, low), shared_prefix(n, high))))
+    probes = materialize(probes.select("target", "skey", "n"), "probes")
+    settle(spark)
+    stored = contested.select(F.col("label").alias("target"), "skey", "n").distinct().join(probes.select("target").distinct(), "target", "left_semi")
+    second = compare(docs, nodes, deal(stored, probes), one=True)
+    for done in (leaders, posts, led, named, open_, contested, sides, probes):
         release(done)
     settle(spark)
     labels = components(first.unionByName(second))
