@@ -247,6 +247,15 @@ def shared_prefix(n, m):
     return F.ceil(LEAST * (n + m) / (PER + LEAST)) - F.greatest(rest(n), rest(m))
 
 
+def least_shared(n, low, high):
+    """Least `shared_prefix` of n with any size from low to high.
+
+    Up to n the bound rises with the size. Above n, going down by d sizes from the greatest lowers its first term by at most
+    ceil(4 d / 9) and its second by at least floor(4 d / 5), which is no less unless d is 1.
+    """
+    return F.least(*(shared_prefix(n, m) for m in (low, F.greatest(low, high - 1), high)))
+
+
 def deal(stored: DataFrame, probes: DataFrame) -> DataFrame:
     """Work for `compare` from (target, skey, n): stored sets in parts, probes in shares, both of bounded size, each part with each share."""
     count = lambda df, name: df.groupBy("target").agg(F.ceil(F.sum("n") / PART).alias(name))
@@ -304,9 +313,9 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     n = F.col("n")
     pairs = contested.join(sides, "h").where((F.col("label") > F.col("target")) & (PER * F.col("high") >= LEAST * n) & (LEAST * F.col("low") <= PER * n))
     pairs = pairs.groupBy("target", "skey", "n").agg(F.count("*").alias("count"), F.min("low").alias("low"), F.max("high").alias("high"))
-    # sizes of the component that could link; the bound is least at one of the ends
+    # sizes of the component that could link
     low, high = F.greatest("low", F.ceil(LEAST * n / PER)), F.least("high", F.floor(PER * n / LEAST))
-    probes = pairs.where((low <= high) & (F.col("count") >= F.least(shared_prefix(n, low), shared_prefix(n, high))))
+    probes = pairs.where((low <= high) & (F.col("count") >= least_shared(n, low, high)))
     probes = materialize(probes.select("target", "skey", "n"), "probes")
     settle(spark)
     stored = contested.select(F.col("label").alias("target"), "skey", "n").distinct().join(probes.select("target").distinct(), "target", "left_semi")

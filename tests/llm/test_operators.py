@@ -363,6 +363,43 @@ def test_join_edges(spark):
     assert jaccard.join(docs_of(spark, [])).count() == 0
 
 
+def test_shared_bound_is_the_least_of_all_sizes(spark):
+    def bound(n, m):
+        return -(-4 * (n + m) // 9) - max(-(-4 * n // 5), -(-4 * m // 5)) + 1
+
+    rows = [(n, low, high) for n in range(1, 61) for low in range(-(-4 * n // 5), 5 * n // 4 + 1) for high in range(low, 5 * n // 4 + 1)]
+    rows.append((100, 100, 105))
+    found = spark.createDataFrame(rows, "n long, low long, high long").select("*", jaccard.least_shared(F.col("n"), F.col("low"), F.col("high")).alias("least")).collect()
+    assert len(found) == len(rows) and all(r.least == min(bound(r.n, m) for m in range(r.low, r.high + 1)) for r in found)
+
+
+def late_link():
+    """Four texts of 100, 104, 105 and 100 shingles: the first links with the second only, by the fewest prefix n-grams there can be."""
+    low = lambda words: jaccard.shingles(" ".join(words[-5:]))[0]
+    for seed in range(200):
+        rng = np.random.default_rng(seed)
+        middle = [f"m{k}" for k in rng.integers(0, 10**9, 95)]
+        ninth = jaccard.shingles(" ".join(middle))[8]
+        y = list(middle)
+        for _ in range(14):  # n-grams that x has not come first in the order
+            y.append(next(w for k in range(10**6) if low([*y, w := f"b{k}"]) < ninth))
+        texts = [" ".join(t) for t in ([*(f"x{k}" for k in range(9)), *middle], y[:-1], y, y[4:-1])]
+        sets = [jaccard.shingles(t) for t in texts]
+        keys = [jaccard.set_key(s) for s in sets]
+        prefix = [set(s[: jaccard.prefix_length(len(s))].tolist()) for s in sets]
+        if min(keys) in keys[2:] and len(prefix[0] & (prefix[1] | prefix[2] | prefix[3])) == 8 and prefix[0] & prefix[3]:
+            assert [len(s) for s in sets] == [100, 104, 105, 100]
+            return dict(enumerate(texts))
+
+
+def test_join_finds_a_link_inside_a_range_of_sizes(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "HOT", 0)  # the order is that of the hashes
+    texts = late_link()
+    want = brute_components(texts)
+    assert [c for _, c in want.values()] == [0, 0, 0, 0] and len({c for _, c in brute_components({i: t for i, t in texts.items() if i != 1}).values()}) == 2
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(docs_of(spark, texts)).collect()} == want
+
+
 @given(st.lists(st.sets(st.integers(0, 30), min_size=1, max_size=20), min_size=1, max_size=25), st.sets(st.integers(0, 30), min_size=1, max_size=20))
 @settings(max_examples=150, deadline=None)
 def test_trie_finds_all_links(stored, probe):
