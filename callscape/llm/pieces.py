@@ -1,12 +1,15 @@
-"""SentencePiece encoding and decoding: Aho-Corasick automaton and single-pass Viterbi.
+"""SentencePiece encoding and decoding: Aho-Corasick automaton and a single pass, Viterbi or in merge order.
 
 The automaton over all ordinary pieces is run once over the text; at each end
 position its state and output links name every piece that ends there, longest
 first, and each relaxes the best score of that position. Scores are the
 model's own; a character that no piece covers costs the lowest score less ten
 and is spelt in byte pieces. Of equal paths the one whose last piece starts
-first wins. If no piece joins text across a word boundary (checked when the
-vocabulary is read), a best path is made of the words' best paths, so words
+first wins. That is the library's segmentation for unigram models. For BPE
+models, where a score is a merge's rank, `Bpe` makes the same pass with another
+choice: the piece that ends a position's prefix is the one that merging leaves
+beside the piece before it. Ids equal the library's. If no piece joins text across a word boundary (checked when the
+vocabulary is read), a path is made of the words' paths, so words
 are solved once and remembered, within a bound.
 
 Defined results: null and empty texts have no pieces; a U+2581 in a text
@@ -131,17 +134,78 @@ class Viterbi:
         return text[1:] if text.startswith(" ") else text
 
 
+class Bpe(Viterbi):
+    """Segmentation by merges: of all neighbours that make a piece, those with the best score are joined first, leftmost first.
+
+    A sequence of pieces is what merging leaves of its text just if that holds for each two neighbours: the first merge across
+    a border would come in the two alone as well, since all before it are within pieces. So each prefix has one last piece that
+    fits the one before it, and a single pass finds it. What fits is remembered for up to `pairs` pairs.
+    """
+
+    def __init__(self, path: str, keep: int = 250_000, pairs: int = 500_000):
+        super().__init__(path, keep)
+        if any(self.sp.is_unused(i) for i in range(len(self.text))):
+            raise ValueError("BPE models with unused pieces are not supported")
+        self.scores = {text: score for text, (_, score, _) in self.automaton.items()}
+        self.most, self.fits = pairs, {}
+
+    def merge(self, text: str) -> list[str]:
+        """Merges of a short text, one after the other."""
+        parts = list(text)
+        while True:
+            best, at = None, 0
+            for i in range(len(parts) - 1):
+                score = self.scores.get(parts[i] + parts[i + 1])
+                if score is not None and (best is None or score > best):
+                    best, at = score, i
+            if best is None:
+                return parts
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+
+    def _fit(self, before: int | str | None, piece: int) -> bool:
+        """Whether merging leaves the piece, and what is before it: a piece, a character that is none, or nothing."""
+        head = [] if before is None else [before if isinstance(before, str) else self.text[before]]
+        if len(self.fits) >= self.most:
+            self.fits.clear()
+        own = self.fits[before, piece] = self.merge("".join(head) + self.text[piece]) == [*head, self.text[piece]]
+        return own
+
+    def path(self, text: str) -> list[int]:
+        """Segmentation of a normalised text."""
+        last, sizes, fits = [None, *text], [1] * (len(text) + 1), self.fits
+        for end, (size, _, piece) in self.automaton.iter(text):
+            end += 1
+            if type(last[end]) is int:
+                continue
+            before = last[end - size]
+            fit = fits.get((before, piece))
+            if self._fit(before, piece) if fit is None else fit:
+                last[end], sizes[end] = piece, size
+        out, at = [], len(text)
+        while at:
+            out.append([last[at]] if type(last[at]) is int else self._spell(last[at]))
+            at -= sizes[at]
+        return [i for ids in reversed(out) for i in ids]
+
+
 @lru_cache(maxsize=2)
-def viterbi(path: str) -> Viterbi:
-    """One automaton for each Python worker and vocabulary."""
-    return Viterbi(path)
+def segmenter(path: str) -> Viterbi:
+    """One automaton for each Python worker and vocabulary, of the kind that the model was trained for."""
+    from sentencepiece import sentencepiece_model_pb2
+
+    with open(path, "rb") as f:
+        kind = sentencepiece_model_pb2.ModelProto.FromString(f.read()).trainer_spec.model_type
+    kinds = {sentencepiece_model_pb2.TrainerSpec.UNIGRAM: Viterbi, sentencepiece_model_pb2.TrainerSpec.BPE: Bpe}
+    if kind not in kinds:
+        raise ValueError("neither a unigram nor a BPE model")
+    return kinds[kind](path)
 
 
 def encode(docs: DataFrame, vocabulary: str) -> DataFrame:
     """(doc_id, ids) of every whole text, in one pass."""
 
     def run(batches):
-        v = viterbi(vocabulary)
+        v = segmenter(vocabulary)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
@@ -154,7 +218,7 @@ def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
     """(doc_id, ids, text) of encoded texts."""
 
     def run(batches):
-        v = viterbi(vocabulary)
+        v = segmenter(vocabulary)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)

@@ -477,6 +477,24 @@ def test_viterbi_is_optimal_and_reversible():
         assert ids == np.array(vit.path(normal), "<u4").tobytes()  # by word or whole: the same
 
 
+bpe = pieces.Bpe(SPM, keep=20, pairs=50)
+
+
+@given(st.text(st.one_of(st.sampled_from("aeinrst  \u2581"), st.characters(exclude_categories=["Cs"])), max_size=60))
+@settings(max_examples=400, deadline=None)
+def test_bpe_equals_the_library(text):
+    assert np.frombuffer(bpe.encode(text), "<u4").tolist() == bpe.sp.encode(text)
+
+
+def test_registered_ids_equal_the_library(spark, tmp_path):
+    texts = ["the river", "internationalization", " two  spaces    and\ttabs ", "wörld 漢字仮名 😀x", "x" * 300, "unbelievable" * 30, "a\u2581b\x00<0x0A></s>", " " * 40, "", None]
+    docs_of(spark, list(enumerate(texts))).write.parquet(str(tmp_path / "documents.parquet"))
+    found = {r.doc_id: r for r in pieces.op7_sentencepiece(spark, str(tmp_path)).collect()}
+    for i, t in enumerate(texts):
+        want = bpe.sp.encode(t or "")
+        assert (found[i].n_pieces, found[i].ids_crc32) == (len(want), zlib.crc32(np.array(want, "<u4").tobytes()))
+
+
 def test_pieces_edges(spark):
     found = pieces.decode(pieces.encode(docs_of(spark, EDGES), SPM), SPM).collect()
     assert Counter((r.doc_id, r.text) for r in found) == Counter((d, t or "") for d, t in EDGES)
