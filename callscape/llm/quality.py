@@ -17,8 +17,9 @@ is one pass over all documents without a shuffle.
 Defined results: null and empty texts are scored from all-zero features; rows
 with a null doc_id are scored, never trained on, and are not held out;
 repeated doc_ids are scored each; a document with contradictory labels is no
-trusted positive; without any positive or unlabelled text all scores are the
-prior (0.5 without labels); an empty table gives no rows; other columns are
+trusted positive; where all texts are labelled, those that training may see are
+the unlabelled set, without their labels; without any positive text all scores
+are the prior (0.5 without labels); an empty table gives no rows; other columns are
 passed by.
 """
 
@@ -142,7 +143,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     key = F.xxhash64(F.lit("pu"), "doc_id")
     ids = docs.select(F.col("doc_id").cast("long")).where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     chosen = [(r.doc_id, 1) for r in usable.where("low = 1").join(ids.distinct(), "doc_id", "left_semi").orderBy(key, "doc_id").limit(sample).collect()]
-    chosen += [(r.doc_id, 0) for r in ids.join(marked, "doc_id", "left_anti").distinct().orderBy(key, "doc_id").limit(sample).collect()]
+    draw = lambda rows: [(r.doc_id, 0) for r in rows.distinct().orderBy(key, "doc_id").limit(sample).collect()]
+    chosen += draw(ids.join(marked, "doc_id", "left_anti")) or draw(ids.join(usable, "doc_id", "left_semi"))
     drawn = F.broadcast(spark.createDataFrame(chosen, "doc_id long, trusted int"))  # at most 2 * sample rows
     texts = docs.select(F.col("doc_id").cast("long"), "text").join(drawn, "doc_id").select("doc_id", "trusted", "text")
 
@@ -153,8 +155,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
                 x = [features(t).astype(np.float32).tobytes() for t in part["text"].to_pylist()]
                 yield pa.RecordBatch.from_arrays([part["doc_id"], part["trusted"], pa.array(x, pa.binary())], ["doc_id", "trusted", "x"])
 
-    # repeated doc_ids would make the sample unbounded: each drawn id counts once
-    rows = texts.mapInArrow(measure, "doc_id long, trusted int, x binary").groupBy("doc_id").agg(F.first("trusted").alias("trusted"), F.min("x").alias("x")).collect()
+    # repeated doc_ids would make the sample unbounded: each drawn id counts once as trusted and once as unlabelled
+    rows = texts.mapInArrow(measure, "doc_id long, trusted int, x binary").groupBy("doc_id", "trusted").agg(F.min("x").alias("x")).collect()
     rows.sort(key=lambda r: r.doc_id)
     x = {k: np.array([np.frombuffer(r.x, np.float32) for r in rows if r.trusted == k], dtype=np.float64).reshape(-1, WIDTH) for k in (0, 1)}
     return fit(x[1], x[0], prior)

@@ -527,6 +527,19 @@ def test_quality_learns_from_positives(spark, tmp_path):
     assert stage.columns == docs_of(spark, []).columns and 400 < stage.count() < 480
 
 
+def test_quality_learns_where_all_are_labelled(spark, tmp_path):
+    rng = np.random.default_rng(7)
+    vocab = ["the", "river", "ran", "slowly", "past", "old", "stone", "houses", "and", "gardens"]
+    rows = [(i, " ".join(w.upper() + "!!" for w in words) if i % 3 else " ".join(words) + ".") for i, words in ((i, list(rng.choice(vocab, size=80))) for i in range(300))]
+    docs_of(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in rows], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    found = quality.op9_quality_classifier(spark, str(tmp_path)).collect()
+    right = [r.predicted == int(r.doc_id % 3 == 0) for r in found if r.held_out]
+    assert len({r.score for r in found}) > 1 and sum(right) / len(right) > 0.97
+    kept = [r.doc_id for r in quality.quality_stage(spark, spark.read.parquet(str(tmp_path / "documents.parquet")), str(tmp_path)).collect()]
+    assert 90 <= len(kept) <= 110 and sum(i % 3 == 0 for i in kept) > 90
+
+
 @needs_data
 def test_quality_on_held_out_labels(spark):
     sf = DATA.replace("sf0.001", "sf0.01")
