@@ -5,8 +5,9 @@ a mention is an identifier-like token after a cue word, mentions form a graph
 of cue patterns and token instances, and rounds of scoring pass between the
 two: a pattern's confidence in a kind is the share of its instances' scores,
 an instance's score is the noisy-or of its patterns' confidences, seeds stay
-at 1. Cues that are sure enough, with enough different seeds, then name the
-kind of the identifiers behind them that no fixed pattern covers.
+at 1 and all others below it. Cues that are sure enough, with enough different
+seeds, then name the kind of the identifiers behind them that no fixed pattern
+covers.
 
 Offsets come from cutting a text at its matches and adding up lengths (code
 points), in blocks, so many matches in one text stay cheap. The regular
@@ -41,6 +42,8 @@ MENTION = CUE + TOKEN
 BLOCK = 256
 #: What a cue needs: confidence, and different seeds.
 SURE, SEEDS, ROUNDS = 0.75, 4, 3
+#: Most that an instance can score which is no seed; the noisy-or of many cues rounds to 1.
+GUESS = 1 - 2.0**-40
 
 
 def sums_before(x: Column) -> Column:
@@ -127,15 +130,15 @@ def bootstrap(found: DataFrame) -> DataFrame:
     """(cue, kind) of the patterns that the pattern-instance graph makes sure."""
     edges = materialize(found.groupBy("cue", "token").agg(F.max("seed").alias("seed")), "edges")
     sizes = edges.groupBy("cue").agg(F.count("*").alias("n"))
-    scores = edges.where("seed is not null").select("token", F.col("seed").alias("kind"), F.lit(1.0).alias("score")).distinct()
-    patterns = None
+    seeds = edges.where("seed is not null").select("token", F.col("seed").alias("kind"), F.lit(1.0).alias("score")).distinct()
+    scores, patterns = seeds, None
     for _ in range(ROUNDS):
         told = edges.join(scores, "token").groupBy("cue", "kind").agg(F.sum("score").alias("mass"), F.count_distinct(F.when(F.col("seed") == F.col("kind"), F.col("token"))).alias("seeds"))
         patterns = told.join(sizes, "cue").select("cue", "kind", "seeds", (F.col("mass") / (F.col("n") + 1)).alias("confidence"))
         patterns = materialize(patterns, "patterns")
         near = edges.where("seed is null").join(patterns.where(f"seeds >= {SEEDS}"), "cue")
-        guessed = near.groupBy("token", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.col("confidence"))))).alias("score"))
-        scores = scores.where("score = 1").unionByName(guessed.where("score < 1"))
+        guessed = near.groupBy("token", "kind").agg(F.least(1 - F.exp(F.sum(F.log(1 - F.col("confidence")))), F.lit(GUESS)).alias("score"))
+        scores = seeds.unionByName(guessed)
     best = F.max_by("kind", F.struct("confidence", "kind")).alias("kind")
     return patterns.where(f"confidence >= {SURE} and seeds >= {SEEDS}").groupBy("cue").agg(best)
 

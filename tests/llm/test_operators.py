@@ -240,6 +240,14 @@ def test_cues_find_what_patterns_miss(spark, tmp_path):
     assert stage[50].text == "please write contact: <EMAIL> today" and stage[51].text is None and stage[25].text == seeds[25]
 
 
+def test_instances_with_most_support_count(spark):
+    rows = [(f"cue{c}", f"seed{k}", 0) for c in range(20) for k in range(100)] + [(f"cue{c}", f"token{k}", None) for c in range(20) for k in range(10)]
+    rows += [("other", f"seed{k}", 0) for k in range(4)] + [("other", f"token{k}", None) for k in range(10)]
+    assert 1 - (1 - 100 / 111) ** 20 == 1.0
+    found = {(r.cue, r.kind) for r in pii.bootstrap(spark.createDataFrame(rows, "cue string, token string, seed int")).collect()}
+    assert found == {(f"cue{c}", 0) for c in range(20)} | {("other", 0)}
+
+
 def test_personal_data_edges(spark):
     out = pii.personal_data_stage(spark, docs_of(spark, EDGES), "")
     assert out.columns == DOCS.replace(",", "").split()[::2] and out.count() == len(EDGES)
