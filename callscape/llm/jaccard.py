@@ -187,7 +187,7 @@ def frequent(docs: DataFrame) -> np.ndarray:
 
 
 def sets(docs: DataFrame, hot: np.ndarray) -> DataFrame:
-    """(doc_id, n, skey, prefix) of every row."""
+    """(doc_id, tkey, n, skey, prefix) of every row; the text key tells rows that repeat a doc_id apart."""
 
     def run(batches):
         order = Order(hot)
@@ -199,9 +199,10 @@ def sets(docs: DataFrame, hot: np.ndarray) -> DataFrame:
                     rows.append((len(own), set_key(own), order.prefix(own).view(np.int64) if len(own) else np.empty(0, np.int64)))
                 offsets = np.concatenate(([0], np.cumsum([len(r[2]) for r in rows]))).astype(np.int32)
                 prefix = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([r[2] for r in rows])))
-                yield pa.RecordBatch.from_arrays([part["doc_id"], pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), prefix], ["doc_id", "n", "skey", "prefix"])
+                yield pa.RecordBatch.from_arrays([part["doc_id"], part["tkey"], pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), prefix], ["doc_id", "tkey", "n", "skey", "prefix"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n long, skey long, prefix array<long>")
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tkey"), "text")
+    return keyed.mapInArrow(run, "doc_id long, tkey long, n long, skey long, prefix array<long>")
 
 
 def compare(docs: DataFrame, nodes: DataFrame, work: DataFrame, one: bool = False) -> DataFrame:
@@ -286,7 +287,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows of doc_id, n, skey; labels of linked nodes as skey, label)."""
+    """(rows of doc_id, tkey, n, skey; labels of linked nodes as skey, label)."""
     spark = docs.sparkSession
     marks = materialize(sets(docs, frequent(docs)), "sets")
     nodes = marks.where("doc_id is not null and n > 0").groupBy("skey").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"))
@@ -324,26 +325,31 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         release(done)
     settle(spark)
     labels = components(first.unionByName(second))
-    return marks.select("doc_id", "n", "skey"), labels.select(F.col("v").alias("skey"), "label")
+    return marks.select("doc_id", "tkey", "n", "skey"), labels.select(F.col("v").alias("skey"), "label")
 
 
 def join(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles and component_id of every row."""
+    """doc_id, tkey, n_shingles and component_id of every row."""
     rows, labels = link(docs)
     least = rows.where("doc_id is not null and n > 0").groupBy("skey").agg(F.min("doc_id").alias("least"))
     root = least.join(labels, "skey", "left").withColumn("label", F.coalesce("label", "skey"))
     smallest = root.groupBy("label").agg(F.min("least").alias("component_id"))
     by_set = root.join(smallest, "label").select("skey", "component_id")
     found = rows.join(by_set, "skey", "left")
-    return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return found.select("doc_id", "tkey", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each group of linked documents the one with the smallest doc_id stays."""
-    gone = materialize(join(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("gone id")).distinct(), "gone")
-    named = docs.withColumn("gone id", F.col("doc_id").cast("long"))
-    clear, near = split_by_filter(named, ["gone id"], gone)
-    return clear.unionByName(near.join(gone, "gone id", "left_anti").select(*named.columns)).select(*docs.columns)
+    """Pipeline stage: of each group of linked documents the one with the smallest doc_id stays.
+
+    Rows that repeat a doc_id go or stay by their own texts: a row goes if its text links it to a smaller doc_id. All rows of a
+    group that have its smallest doc_id stay, exact repeats and near copies of each other included.
+    """
+    gone = join(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("gone id"), F.col("tkey").alias("gone key")).distinct()
+    gone, keys = materialize(gone, "gone"), ["gone id", "gone key"]
+    named = docs.withColumn("gone id", F.col("doc_id").cast("long")).withColumn("gone key", F.xxhash64("text"))
+    clear, near = split_by_filter(named, keys, gone)
+    return clear.unionByName(near.join(gone, keys, "left_anti").select(*named.columns)).select(*docs.columns)
 
 
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -371,6 +371,13 @@ def test_join_edges(spark):
     assert jaccard.join(docs_of(spark, [])).count() == 0
 
 
+def test_stage_takes_repeated_ids_by_their_texts(spark):
+    a, b = (" ".join(f"{c}{k}" for k in range(60)) for c in "ab")
+    rows = [(1, a), (1, a), (2, a + " more"), (2, b), (3, b), (None, a), (None, None), (2, None)]
+    kept = jaccard.near_duplicate_stage(spark, docs_of(spark, rows), "").collect()
+    assert Counter((r.doc_id, r.text) for r in kept) == Counter([(1, a), (1, a), (2, b), (None, a), (None, None), (2, None)])
+
+
 def test_shared_bound_is_the_least_of_all_sizes(spark):
     def bound(n, m):
         return -(-4 * (n + m) // 9) - max(-(-4 * n // 5), -(-4 * m // 5)) + 1
