@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import materialize, settle, split_by_filter, table
+from .shared import materialize, split_by_filter, table
 
 #: The kinds in their order, and their patterns.
 KINDS = ("email", "ip", "card", "phone")
@@ -149,7 +149,6 @@ def discovered(docs: DataFrame) -> DataFrame:
     sure = bootstrap(found)
     hits = found.where("seed is null").join(sure, "cue").select("doc_id", "tkey", F.struct("kind", "start", "end").alias("s")).distinct()
     out = materialize(hits.groupBy("doc_id", "tkey").agg(F.array_sort(F.collect_list("s")).alias("more")), "discovered")
-    settle(docs.sparkSession)
     return out
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,22 +19,41 @@ ASCII_SPACE = b" \t\n\x0b\x0c\r"
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder that all executors share.
 
-    The cluster names it in spark.checkpoint.dir; only where that is unset
-    (tests, a single machine) a temporary folder is taken and remembered.
+    The cluster names it in spark.checkpoint.dir. Only where that is unset and
+    all tasks run in the driver's own process a temporary folder will do; it
+    is taken and remembered.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir is unset: name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="callscape-")
         spark.sparkContext.setCheckpointDir(base)
         base = spark.sparkContext.getCheckpointDir()
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+#: Spark's setting by which a statement drops its own shuffle files as it ends.
+DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def dropping_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Within it, shuffle files go with the statement that wrote them: what it stores is all that later steps read."""
+    before = spark.conf.get(DROP_SHUFFLES)
+    spark.conf.set(DROP_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(DROP_SHUFFLES, before)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write a frame to the shared folder as Parquet and read it again."""
     spark = df.sparkSession
     path = shared_dir(spark, name)
-    df.write.option("compression", "zstd").parquet(path)
+    with dropping_shuffles(spark):
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -67,17 +88,23 @@ LONG, INT, STRING, BINARY, DOUBLE = T.LongType(), T.IntegerType(), T.StringType(
 def schema(**columns: T.DataType) -> T.StructType:
     return T.StructType([T.StructField(k, v) for k, v in columns.items()])
 
-#: Bits of the pre-filter below; as rows of 64 bits it is small enough to broadcast, whatever it is made from.
-FILTER_BITS = 1 << 22
+
+#: The pre-filter below has this many bits for each row that it is made from, but no more than the greatest number, so that it
+#: can always be broadcast: 64 bits are one row, 2^25 bits are 12 MB.
+FILTER_SHARE, FILTER_LEAST, FILTER_MOST = 16, 1 << 12, 1 << 25
 
 
 def split_by_filter(big: DataFrame, keys: list[str], small: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows that surely have no partner in `small`, rows that may have one), without a shuffle of `big`.
 
-    A one-hash Bloom filter of fixed size: it only saves shuffling, the join that follows decides. Filled up, it
-    lets all rows through.
+    A one-hash Bloom filter, sized by the rows of `small`, which should be stored. It only saves shuffling, the join that follows
+    decides; beyond FILTER_MOST / FILTER_SHARE rows it lets more and more through.
     """
-    slot = F.pmod(F.xxhash64(*keys), F.lit(FILTER_BITS))
+    bits = FILTER_LEAST
+    wanted = min(FILTER_MOST, FILTER_SHARE * small.count())
+    while bits < wanted:
+        bits *= 2
+    slot = F.pmod(F.xxhash64(*keys), F.lit(bits))
     marked = small.select(slot.alias("slot")).groupBy(F.floor(F.col("slot") / 64).alias("filter word")).agg(F.bit_or(_shifted("slot")).alias("filter bits"))
     words = F.broadcast(marked)
     probed = big.withColumn("filter slot", slot).withColumn("filter word", F.floor(F.col("filter slot") / 64)).join(words, "filter word", "left")
@@ -87,11 +114,3 @@ def split_by_filter(big: DataFrame, keys: list[str], small: DataFrame) -> tuple[
 
 def _shifted(column: str):
     return F.expr(f"shiftleft(1L, cast(pmod(`{column}`, 64) as int))")
-
-
-def settle(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop the shuffle files of finished steps now, not when the driver next runs out of heap."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import materialize, release, settle, split_by_filter, table
+from .shared import materialize, release, split_by_filter, table
 from .words import bounds, sequences, word_hashes
 
 WINDOW, ANCHOR = 50, 25
@@ -180,7 +180,6 @@ def covered(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, batches
         .join(leading, ["doc_id", "tkey"], "left_semi")
     )
     touched = materialize(touched, "touched")
-    settle(spark)
     found = materialize(windows(docs, touched, window, anchor), "windows")
     least = found.select("doc_id", F.explode("hashes").alias("h")).groupBy("h").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("last")).where("least < last")
     least = materialize(least, "least")  # stored, so that a hot window's side of the join can be split
@@ -190,7 +189,6 @@ def covered(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, batches
     out = materialize(late.unionByName(copies), "covered")
     for done in (*index.runs, marks, touched, found, status, least):
         release(done)
-    settle(spark)
     return out
 
 

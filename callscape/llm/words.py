@@ -9,6 +9,7 @@ operations.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 
 from .shared import ASCII_SPACE
 
@@ -87,3 +88,34 @@ def sequences(words: np.ndarray, length: int) -> np.ndarray:
         if not rest:
             return mix(out + U64(length))
         doubled, size = join(doubled[:-size], doubled[size:]), size * 2
+
+
+def hashed_batch(texts: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Word fingerprints of all texts of an Arrow array, one after the other, and the place where each text's begin (and the end)."""
+    texts = texts.fill_null("")
+    offsets = np.frombuffer(texts.buffers()[1], np.int64 if pa.types.is_large_string(texts.type) else np.int32, len(texts) + 1, texts.offset * (8 if pa.types.is_large_string(texts.type) else 4))
+    size = int(offsets[-1] - offsets[0])
+    if not size:
+        return np.empty(0, U64), np.zeros(len(texts) + 1, np.int64)
+    data = np.frombuffer(texts.buffers()[2], np.uint8, size, int(offsets[0]))
+    cuts = offsets.astype(np.int64) - int(offsets[0])
+    inside = np.zeros(size + 2, np.bool_)
+    inside[1:-1] = ~IS_SPACE[data]
+    begins, stops = inside[1:-1] & ~inside[:-2], inside[1:-1] & ~inside[2:]
+    whole = cuts[:-1] < cuts[1:]  # texts that are not empty are cut from their neighbours
+    first, last = cuts[:-1][whole], cuts[1:][whole] - 1
+    begins[first] = inside[1:-1][first]
+    stops[last] = inside[1:-1][last]
+    starts, ends = np.flatnonzero(begins), np.flatnonzero(stops) + 1
+    words = word_hashes(LOWER[data] if lower else data, starts, ends)
+    return words, np.searchsorted(starts, cuts)
+
+
+def windows_of(words: np.ndarray, cuts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprints of all windows of `length` words within one text, and the place where each text's begin (and the end)."""
+    counts = np.maximum(0, np.diff(cuts) - (length - 1))
+    at = np.concatenate(([0], np.cumsum(counts)))
+    every = sequences(words, length)
+    if len(every) == at[-1]:
+        return every, at
+    return every[np.repeat(cuts[:-1] - at[:-1], counts) + np.arange(at[-1])], at
