@@ -12,10 +12,10 @@
    its block: nodes that lie near each other, linked or not.
 3. Where n-grams still join different components, each node there is a probe
    of the other blocks that have the n-gram, and of its own block if its
-   component is not that of the block's leader. Sizes and the least number of
-   prefix n-grams that links need rule probes out. So a group of near copies
-   is one block, not a list of its pairs, and what already is one component is
-   not compared again.
+   component is not that of the block's leader. A block's sets are taken by
+   classes of like size; sizes and the least number of prefix n-grams that
+   links need rule classes out. So a group of near copies is one block, not a
+   list of its pairs, and what already is one component is not compared again.
 
 Comparing means: the sets of a block, or of one of its parts where it is
 large, are stored in a trie in the global order, most frequent n-gram first,
@@ -41,6 +41,7 @@ are ignored.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -56,6 +57,8 @@ SHINGLE = 5
 LEAST, PER = 80, 100
 #: Slots of the table of counts, and n-grams of a batch within which recurrence is counted.
 SLOTS, BATCH = 1 << 18, 6_000_000
+#: Sizes of a class differ by this factor at most.
+CLASS = 1.05
 #: N-grams of the sets that one part of a block, or one share of its probes, may hold, and entries of a table of probes by n-grams.
 PART, TABLE = 400_000, 1 << 25
 #: Rows that are hashed together, and set keys that a task remembers, so as to give a set's n-grams once.
@@ -365,7 +368,9 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     leaders = posts.groupBy("h").agg(F.min("skey").alias("leader"), F.max("skey").alias("last")).where("leader < last").select("h", "leader")
     leaders = materialize(leaders, "leaders")
     posts = materialize(split_by_filter(posts, ["h"], leaders)[1].join(leaders, "h").distinct(), "posts")
-    release(leaders)
+    rows = materialize(marks.select("doc_id", "tkey", "n", "skey"), "rows")
+    for done in (leaders, marks):
+        release(done)
     # round one: nodes and leaders. What cannot link is not compared; the second round does not rely on this one
     near = materialize(posts.groupBy("skey", "leader").agg(F.min("n").alias("n"), F.count("*").alias("shared")), "near")
     blocks = near.groupBy("skey").agg(F.max_by("leader", "shared").alias("block"))
@@ -379,15 +384,17 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     linked = components(first)
     named = blocks.join(linked.withColumnRenamed("v", "skey"), "skey", "left").withColumn("label", F.coalesce("label", "skey"))
     named = materialize(named, "named")
+    release(near)
     main = named.select(F.col("skey").alias("block"), F.col("label").alias("main"))
     info = materialize(named.join(main, "block", "left"), "info")
     release(named)
-    told = materialize(posts.drop("leader").join(info, "skey"), "told")
+    told = materialize(posts.drop("leader").join(info, "skey").withColumn("class", F.floor(F.log("n") / F.lit(math.log(CLASS))).cast("int")), "told")
+    release(posts)
     open_ = materialize(told.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("h"), "open")
     contested = materialize(split_by_filter(told, ["h"], open_)[1].join(open_, "h"), "contested")  # stored, as all below, so that a hot side of a join can be split
     release(told)
     brief = F.when(F.col("short"), n)
-    sides = contested.groupBy("h", F.col("block").alias("target")).agg(
+    sides = contested.groupBy("h", F.col("block").alias("target"), F.col("class").alias("side")).agg(
         F.min("n").alias("low"), F.max("n").alias("high"), F.min(brief).alias("brief_low"), F.max(brief).alias("brief_high"), F.min("label").alias("label_low"), F.max("label").alias("label_high")
     )
     sides = materialize(sides, "sides")
@@ -396,18 +403,20 @@ def link(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     mine = (F.col("block") > F.col("target")) | (F.col("block") == F.col("target")) & (F.col("label") != F.col("main"))
     strange = (F.col("label_low") != F.col("label")) | (F.col("label_high") != F.col("label"))
     pairs = contested.join(sides, "h").where(mine & strange & (PER * F.col("high") >= LEAST * n) & (LEAST * F.col("low") <= PER * n))
-    pairs = pairs.groupBy("target", "skey", "n").agg(F.count("*").alias("count"), F.min("low").alias("low"), F.max("high").alias("high"), F.bool_or(F.coalesce(asked, F.lit(False))).alias("asked"))
-    # sizes in the block that could link
+    pairs = pairs.groupBy("target", "side", "skey", "n").agg(F.count("*").alias("count"), F.min("low").alias("low"), F.max("high").alias("high"), F.bool_or(F.coalesce(asked, F.lit(False))).alias("asked"))
+    # sizes in the class that could link
     low, high = F.greatest("low", F.ceil(LEAST * n / PER)), F.least("high", F.floor(PER * n / LEAST))
     probes = pairs.where(F.col("asked") & (low <= high) & (F.col("count") >= least_shared(n, low, high)))
-    probes = materialize(probes.select("target", "skey"), "probes")
+    probes = materialize(probes.select("target", "side", "skey"), "probes")
     checks = nodes.select("skey", "check", "n").join(info.select("skey", "label"), "skey")
-    stored = contested.select(F.col("block").alias("target"), "skey").distinct().join(probes.select("target").distinct(), "target", "left_semi")
-    second = compare(docs, nodes, deal(stored.join(checks, "skey"), probes.join(checks, "skey")), levels)
-    for done in (posts, near, led, info, open_, contested, sides, probes):
+    stored = contested.select(F.col("block").alias("target"), F.col("class").alias("side"), "skey").distinct().join(probes.select("target", "side").distinct(), ["target", "side"], "left_semi")
+    for done in (led, open_, sides):
+        release(done)
+    second = compare(docs, nodes, deal(stored.drop("side").join(checks, "skey"), probes.drop("side").distinct().join(checks, "skey")), levels)
+    for done in (info, contested, probes):
         release(done)
     labels = components(first.unionByName(second))
-    return marks.select("doc_id", "tkey", "n", "skey"), labels.select(F.col("v").alias("skey"), "label")
+    return rows, labels.select(F.col("v").alias("skey"), "label")
 
 
 def join(docs: DataFrame) -> DataFrame:
