@@ -1,13 +1,13 @@
 """Chat formatting by event-sourced reconstruction.
 
-The log holds one row per event: conv_id, turn, seq, kind, role, text. Kinds:
-`start` opens a message (with a first delta, if it has a text), `delta` appends, `edit` replaces what is there,
-`regenerate` empties it and takes the role of the new attempt if one is given,
-`delete` withdraws it. Events are dealt out by conversation and sorted by turn
-and sequence; one pass folds them and renders each message as it closes, so
-memory is bounded by one message and not by a conversation. (A digest of a
-whole conversation is sequential by nature, so its rows meet in one task, as a
-stream.)
+The log holds one row per event: conv_id, turn, message, seq, kind, role, text.
+Kinds: `start` opens a message (with a first delta, if it has a text), `delta`
+appends, `edit` replaces what is there, `regenerate` empties it and takes the
+role of the new attempt if one is given, `delete` withdraws it. `message` tells
+messages of one turn apart and may be null. Events are dealt out by
+conversation and sorted by turn, message and sequence; one pass folds them and
+renders each message as it closes, so memory is bounded by one message and not
+by a conversation.
 
 Rendered: `<s>` opens a conversation and `</s>` closes it; a message is
 `<|role|>` LF text `<|end|>` LF. Inside texts and roles a backslash is
@@ -15,11 +15,19 @@ doubled, and the `<` or `[` that would begin a control string becomes `\\l` or
 `\\b` (in roles also `|` becomes `\\p`), so no text can pose as markup and
 unescaping gives it back exactly.
 
-Defined results: null roles and texts are empty; rows of equal turn and seq
-are ordered by kind, role and text and all count, for the query as messages of
-their own; a null conv_id is a conversation like any other, null turns come
-first; deltas without a start open a message; unknown kinds raise an error; an
-empty log gives no rows; other columns are ignored.
+The output is stored: a row a message with its place in the conversation, its
+part of the rendered text (the first with the opening mark, the last with the
+closing one, so that the parts joined in order are the whole), and the span of
+the loss mask as code points of the whole. Reading back takes nothing else. (A
+digest of a whole conversation is sequential by nature, so its rows meet in
+one task, as a stream.)
+
+Defined results: null roles and texts are empty; table rows of equal turn are
+messages of their own, ordered by role and a hash of the text; events of equal
+turn, message and seq are ordered by kind, role and text and all count; a null
+conv_id is a conversation like any other, null turns come first; deltas without
+a start open a message; unknown kinds raise an error; a conversation of which
+nothing is left, and an empty log, give no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import LONG, STRING, schema, table
+from .shared import LONG, STRING, materialize, schema, table
 
 #: The control strings of the template and of common others, which no text may contain after escaping.
 CONTROL = re.compile(r"\\|<(?=\||/?s>)|\[(?=/?INST\])")
@@ -92,75 +100,121 @@ def fold(events: Iterable[tuple]) -> Iterator[tuple]:
 
 
 def as_events(rows: DataFrame) -> DataFrame:
-    """Finished rows (conv_id, turn, role, text) as a log: each opens a message with its text as the first delta."""
-    return rows.select(
-        F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.lit(0).cast("long").alias("seq"), F.lit("start").alias("kind"), "role", "text"
-    )
+    """Finished rows (conv_id, turn, role, text) as the log of a client that streams: turn by turn as two deltas, as a draft that
+    is edited, and as an attempt that is regenerated."""
+    text = F.coalesce("text", F.lit(""))
+    half = F.floor(F.char_length(text) / 2).cast("int")
+    head, rest = F.substring(text, F.lit(1), half), F.substring(text, half + 1, F.char_length(text))
+    event = lambda seq, kind, part: F.struct(F.lit(seq).cast("long").alias("seq"), F.lit(kind).alias("kind"), part.alias("text"))
+    way = F.coalesce(F.pmod("turn", F.lit(3)), F.lit(0))
+    streamed = F.array(event(0, "start", head), event(1, "delta", rest))
+    edited = F.array(event(0, "start", rest), event(1, "edit", head), event(2, "delta", rest))
+    again = F.array(event(0, "start", head), event(1, "regenerate", head), event(2, "delta", rest))
+    message = F.struct(F.col("role").alias("by"), F.xxhash64("text").alias("digest"), F.monotonically_increasing_id().alias("row"))
+    log = rows.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", message.alias("message"), F.explode(F.when(way == 0, streamed).when(way == 1, edited).otherwise(again)).alias("e"))
+    return log.select("conv_id", "turn", "message", "e.seq", "e.kind", "role", "e.text")
+
+
+FORMATTED = "conv_id long, ordinal long, segment string, loss_start long, loss_end long"
 
 
 def format_log(events: DataFrame) -> DataFrame:
-    """Rendered messages (conv_id, turn, segment, loss), each conversation within one partition and in order; loss marks assistant texts."""
-    dealt = events.select("conv_id", "turn", "seq", "kind", "role", "text").repartition("conv_id")
-    ordered = dealt.sortWithinPartitions("conv_id", "turn", "seq", "kind", "role", "text")
+    """Rendered conversations (FORMATTED): the text's parts in order, and the spans that count for the loss: assistant texts."""
+    order = ("conv_id", "turn", "message", "seq", "kind", "role", "text")
+    ordered = events.select(*order).repartition("conv_id").sortWithinPartitions(*order)
+    arrow = pa.schema([("conv_id", pa.int64()), ("ordinal", pa.int64()), ("segment", pa.string()), ("loss_start", pa.int64()), ("loss_end", pa.int64())])
 
-    def run(batches):
+    def shown(batches):
         def rows():
             for batch in batches:
                 yield from zip(*(batch[c].to_pylist() for c in ("conv_id", "turn", "kind", "role", "text")), strict=True)
 
+        waiting, at = None, 0
+        for conv_id, _, role, text in fold(rows()):
+            first = waiting is None or waiting[0] != conv_id
+            if first:
+                if waiting:
+                    yield (*waiting[:2], waiting[2] + CLOSE, *waiting[3:])
+                at = 0
+            elif waiting:
+                yield waiting
+            segment = (OPEN if first else "") + render(role, text)
+            end = at + len(segment) - len(END)
+            span = (end - len(escape(text)), end) if role == "assistant" else (None, None)
+            waiting = (conv_id, 0 if first else waiting[1] + 1, segment, *span)
+            at += len(segment)
+        if waiting:
+            yield (*waiting[:2], waiting[2] + CLOSE, *waiting[3:])
+
+    def run(batches):
         out = []
-        for conv_id, turn, role, text in fold(rows()):
-            out.append((conv_id, turn, render(role, text), role == "assistant"))
+        for row in shown(batches):
+            out.append(row)
             if len(out) == 500:
-                yield _batch(out)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
                 out = []
         if out:
-            yield _batch(out)
-
-    def _batch(out):
-        kinds = (pa.int64(), pa.int64(), pa.string(), pa.bool_())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["conv_id", "turn", "segment", "loss"])
-
-    return ordered.mapInArrow(run, "conv_id long, turn long, segment string, loss boolean")
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
+
+    return ordered.mapInArrow(run, FORMATTED)
+
+
+class Reader:
+    """What the contract asks of one conversation, read from the parts of its text and the mask, in order."""
+
+    def __init__(self):
+        self.turns, self.loss, self.n, self.chars, self.loss_chars = hashlib.sha256(), hashlib.sha256(), 0, 0, 0
+        self.closed = False
+
+    def take(self, segment: str, start: int | None, end: int | None) -> None:
+        if start is not None:
+            text = unescape(segment[start - self.chars : end - self.chars])
+            self.loss_chars += len(text)
+            self.loss.update(text.encode())
+        self.chars += len(segment)
+        if not self.n:
+            if not segment.startswith(OPEN):
+                raise ValueError("a conversation without its opening mark")
+            segment = segment[len(OPEN) :]
+        if self.closed:
+            raise ValueError("text after the closing mark")
+        if self.closed or segment.endswith(END + CLOSE):
+            self.closed, segment = True, segment[: -len(CLOSE)]
+        role, text = parse(segment)
+        self.n += 1
+        self.turns.update(f"{role}\n{text}\n".encode())
+
+    def result(self) -> tuple:
+        if not self.closed:
+            raise ValueError("a conversation without its closing mark")
+        return self.n, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars
 
 
 def digests(formatted: DataFrame) -> DataFrame:
-    """What the contract asks of each conversation, read back from rendered messages in their order."""
+    """What the contract asks of each conversation, read back from stored parts."""
     out = schema(conv_id=LONG, n_turns=LONG, turns_sha256=STRING, loss_chars=LONG, loss_sha256=STRING, formatted_chars=LONG)
+    arrow = pa.schema([(f.name, pa.string() if f.dataType == STRING else pa.int64()) for f in out.fields])
 
     def run(batches):
-        state, key = None, ()
-        done = []
-
-        def close():
-            done.append((key[0], state["n"], state["turns"].hexdigest(), state["loss_n"], state["loss"].hexdigest(), state["chars"] + len(CLOSE)))
-
+        reader, key, done = None, (), []
         for batch in batches:
-            for conv_id, segment, loss in zip(*(batch[c].to_pylist() for c in ("conv_id", "segment", "loss")), strict=True):
+            for conv_id, *part in zip(*(batch[c].to_pylist() for c in ("conv_id", "segment", "loss_start", "loss_end")), strict=True):
                 if (conv_id,) != key:
-                    if state:
-                        close()
-                    key, state = (conv_id,), {"n": 0, "turns": hashlib.sha256(), "loss_n": 0, "loss": hashlib.sha256(), "chars": len(OPEN)}
-                role, text = parse(segment)
-                state["n"] += 1
-                state["turns"].update(f"{role}\n{text}\n".encode())
-                state["chars"] += len(segment)
-                if loss:
-                    state["loss_n"] += len(text)
-                    state["loss"].update(text.encode())
+                    if reader:
+                        done.append((*key, *reader.result()))
+                    reader, key = Reader(), (conv_id,)
+                reader.take(*part)
             if done:
-                yield pa.RecordBatch.from_pylist([dict(zip(out.names, d, strict=True)) for d in done], schema=arrow)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*done, strict=True), arrow, strict=True)], schema=arrow)
                 done = []
-        if state:
-            close()
-            yield pa.RecordBatch.from_pylist([dict(zip(out.names, d, strict=True)) for d in done], schema=arrow)
+        if reader:
+            yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip((*key, *reader.result()), arrow, strict=True)], schema=arrow)
 
-    arrow = pa.schema([(f.name, pa.string() if f.dataType == STRING else pa.int64()) for f in out.fields])
-    return formatted.mapInArrow(run, out)
+    return formatted.repartition("conv_id").sortWithinPartitions("conv_id", "ordinal").mapInArrow(run, out)
 
 
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     hostile = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-7, 0, "user", hostile), (-7, 1, "assistant", hostile)], "conv_id long, turn long, role string, text string")
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
-    return digests(format_log(as_events(rows.unionByName(extra))))
+    return digests(materialize(format_log(as_events(rows.unionByName(extra))), "conversations"))
