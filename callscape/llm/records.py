@@ -16,7 +16,8 @@ shuffled reads.
 
 Defined results: null and empty texts give the end token only; rows with a
 null doc_id come first; repeated doc_ids each give a record, ordered by
-text hash; an empty table gives no records; other columns are ignored.
+text hash (rows that are equal in both are dealt out over shards like others);
+an empty table gives no records; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -85,8 +86,9 @@ def write(docs: DataFrame, path: str, vocabulary: str, end_id: int, shard_bytes:
     """
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     n = max(1, -(-text_bytes(docs) // shard_bytes))
-    tie = F.xxhash64("text")
-    dealt = docs.repartitionByRange(n, F.col("doc_id"), tie).sortWithinPartitions(F.col("doc_id"), tie)
+    order = ["doc_id", "tie", "row"]  # the last tells equal rows apart, so that any number of them can be cut into ranges
+    docs = docs.withColumn("tie", F.xxhash64("text")).withColumn("row", F.monotonically_increasing_id())
+    dealt = docs.repartitionByRange(n, *order).sortWithinPartitions(*order).select("doc_id", "text")
 
     def encode(batches):
         enc = encoder(vocabulary)
@@ -131,8 +133,8 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 
 def build_index(spark: SparkSession, path: str) -> DataFrame:
-    """Write `path`/index: for each record its shard, offset, length, doc_id, tokens, and tokens before it in its shard."""
-    found = read(spark, path).select("shard", "offset", "length", "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"))
+    """Read the shards and write `path`/index: for each record its shard, offset, length, doc_id, tokens, tokens before it in its shard, and crc32 of its ids."""
+    found = read(spark, path).select("shard", "offset", "length", "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
     before = Window.partitionBy("shard").orderBy("offset").rowsBetween(Window.unboundedPreceding, -1)
     found.withColumn("before", F.coalesce(F.sum("n_tokens").over(before), F.lit(0))).write.parquet(f"{path}/index")
     return spark.read.parquet(f"{path}/index")
@@ -160,9 +162,4 @@ def op1_token_records(spark: SparkSession, sf_dir: str, vocabulary: str | None =
     write(table(spark, sf_dir, "documents"), path, vocabulary or public_tokenizers.path("word_bpe_49k.json"), end_id=2)
     index = build_index(spark, path)
     starts = shard_starts(index)
-    back = read(spark, path).select("shard", "offset", F.crc32("ids").alias("ids_crc32"))
-    return (
-        index.join(back, ["shard", "offset"])
-        .join(starts, "shard")
-        .select("doc_id", (F.col("base") + F.col("before")).alias("start"), "n_tokens", "ids_crc32", "shard", "offset")
-    )
+    return index.join(starts, "shard").select("doc_id", (F.col("base") + F.col("before")).alias("start"), "n_tokens", "ids_crc32", "shard", "offset")
