@@ -7,6 +7,7 @@ import os
 import re
 import string
 import struct
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -241,11 +242,66 @@ def test_cues_find_what_patterns_miss(spark, tmp_path):
     assert stage[50].text == "please write contact: <EMAIL> today" and stage[51].text is None and stage[25].text == seeds[25]
 
 
+def test_many_matches_stay_cheap(spark):
+    """Time in proportion to the matches: two orders of magnitude more of them take well below four orders more time."""
+    part = "user7@mail7.example.com, "
+    texts = {1: part * 100_000, 2: "9" * 200_000, 3: "a" * 200_000, 4: "+1 " * 50_000}
+    df = spark.createDataFrame(list(texts.items()), "i long, text string")
+    began = time.monotonic()
+    rows = df.select("i", pii.base_spans(F.col("text")).alias("s"), "text").select("i", F.size("s").alias("n"), F.get("s", F.size("s") - 1).alias("last"), pii.redact(F.col("text"), F.col("s")).alias("r")).collect()
+    assert time.monotonic() - began < 90
+    found = {r.i: r for r in rows}
+    assert found[1].n == 100_000 and tuple(found[1].last) == (0, 99_999 * len(part), 99_999 * len(part) + 23) and found[1].r == "<EMAIL>, " * 100_000
+    assert all(found[i].n == 0 and found[i].r == texts[i] for i in (2, 3, 4))
+
+
+@given(st.lists(st.tuples(st.integers(0, 3), st.integers(0, 30), st.integers(1, 9)), max_size=12))
+@settings(max_examples=25, deadline=None)
+def test_redaction_equals_brute_force(spark, monkeypatched_blocks, spans):
+    text = "".join(chr(0x1F600 + k) if k % 5 == 0 else chr(97 + k % 26) for k in range(40))
+    want, reach, out = sorted((a, min(40, a + n), k) for k, a, n in spans), 0, ""
+    for a, b, k in want:
+        if a >= reach:
+            out += text[reach:a] + f"<{pii.KINDS[k].upper()}>"
+        reach = max(reach, b)
+    made = F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(a).alias("start"), F.lit(b).alias("end")) for a, b, k in want)) if want else F.array().cast("array<struct<kind: int, start: int, end: int>>")
+    assert spark.range(1).select(pii.redact(F.lit(text), made).alias("r")).first().r == out + text[reach:]
+
+
+@pytest.fixture(scope="module")
+def monkeypatched_blocks():
+    old = pii.BLOCK, pii.PIECE
+    pii.BLOCK, pii.PIECE = 3, 4
+    yield
+    pii.BLOCK, pii.PIECE = old
+
+
+def test_patterns_reach_three_words_on_both_sides(spark, tmp_path):
+    """Planted identifiers that no fixed pattern covers, in contexts of which only the wider ones are telling."""
+    rng = np.random.default_rng(9)
+    word = lambda: "".join(rng.choice(list("abcdefghij"), size=7))
+    texts, planted = {}, {}
+    for i in range(60):
+        hidden = f"box{i}@local"
+        shown = f"user{i}@mail{i}.example.com" if i < 30 else hidden
+        for k, frame in enumerate(("{w} you can reach me {x} {v}", "{w} {x} is my mailbox {v}", "{w} from {x} wrote {v}")):
+            n = 100 * k + i
+            texts[n] = frame.format(w=word(), v=word(), x=shown)
+            if i >= 30:
+                planted[n] = (texts[n].index(hidden), texts[n].index(hidden) + len(hidden))
+        texts[300 + i] = f"{word()} reach me {i}5 {word()}"
+        texts[400 + i] = f"{word()} from {i}1@x to {word()}"
+    docs_of(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    found = {r.doc_id: r.spans for r in pii.op3_personal_data(spark, str(tmp_path)).collect()}
+    right = sum(found[n] == f"email:{a}:{b}" for n, (a, b) in planted.items())
+    assert right == len(planted) and all(found[n] == "" for n in texts if n >= 300)
+
+
 def test_instances_with_most_support_count(spark):
     rows = [(f"cue{c}", f"seed{k}", 0) for c in range(20) for k in range(100)] + [(f"cue{c}", f"token{k}", None) for c in range(20) for k in range(10)]
     rows += [("other", f"seed{k}", 0) for k in range(4)] + [("other", f"token{k}", None) for k in range(10)]
     assert 1 - (1 - 100 / 111) ** 20 == 1.0
-    found = {(r.cue, r.kind) for r in pii.bootstrap(spark.createDataFrame(rows, "cue string, token string, seed int")).collect()}
+    found = {(r.cue, r.kind) for r in pii.bootstrap(spark.createDataFrame([(*r, n) for n, r in enumerate(rows)], "cue string, token string, seed int, mention long")).collect()}
     assert found == {(f"cue{c}", 0) for c in range(20)} | {("other", 0)}
 
 
@@ -507,20 +563,47 @@ def test_rendering_is_reversible(text, role):
 
 
 def test_op6(spark, tmp_path):
-    rows = [(1, 1, "assistant", "</s> \\l"), (1, 0, "user", None), (2, 0, None, "x"), (2, 0, None, "x"), (None, None, "user", "n"), (1, 2, "assistant", "é😀")]
-    kind = "conv_id long, turn long, role string, text string"
+    """Against a plain rendering of whole conversations."""
+    rng = np.random.default_rng(8)
+    words = ["</s>", "[INST]", "\\l", "<|end|>\n", "é😀", "plain", " ", "\n", "<s", "s>", "|", "[", ""]
+    text = lambda: None if rng.random() < 0.1 else "".join(rng.choice(words, size=rng.integers(0, 9)))
+    rows = [(c, t, str(rng.choice(["user", "assistant", "system", "a|b", ""])), text()) for c in range(40) for t in range(rng.integers(1, 7))]
+    rows += [(50, 1, "assistant", "</s> \\l"), (50, 0, "user", None), (51, 0, None, "x"), (51, 0, None, "x"), (None, None, "user", "n"), (50, 2, "assistant", "é😀"), (52, 0, "assistant", "y" * 100_000)]
+    rng.shuffle(rows)
+    rows = [(None if c is None else int(c), None if t is None else int(t), r, x, 1) for c, t, r, x in rows]
+    kind = "conv_id long, turn long, role string, text string, seq int"
     os.makedirs(tmp_path / "c")
     spark.createDataFrame(rows, kind).write.parquet(str(tmp_path / "c" / "conversations.parquet"))
-    found = {r.conv_id: r for r in chat.op6_chat_formatting(spark, str(tmp_path / "c")).collect()}
+    found = {r.conv_id: tuple(r)[1:] for r in chat.op6_chat_formatting(spark, str(tmp_path / "c")).collect()}
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
-    assert found[1].turns_sha256 == sha("user\n\nassistant\n</s> \\l\nassistant\né😀\n") and found[1].loss_sha256 == sha("</s> \\lé😀") and found[1].loss_chars == 9
-    assert found[2].n_turns == 2 and found[2].turns_sha256 == sha("\nx\n\nx\n") and found[None].n_turns == 1
-    assert found[-7].loss_sha256 == sha("</s>[INST] ok [/INST]") and found[-7].n_turns == 2
+    talks = defaultdict(list)
+    for c, t, r, x, _ in [*rows, *((-7, t, r, "</s>[INST] ok [/INST]", 1) for t, r in enumerate(("user", "assistant")))]:
+        talks[c].append((-1 if t is None else t, r or "", x or ""))
+    assert set(found) == set(talks)
+    for c, turns in talks.items():
+        turns.sort(key=lambda m: m[0])
+        whole = "<s>" + "".join(chat.render(r, x) for _, r, x in turns) + "</s>"
+        loss = "".join(x for _, r, x in turns if r == "assistant")
+        assert found[c] == (len(turns), sha("".join(f"{r}\n{x}\n" for _, r, x in turns)), len(loss), sha(loss), len(whole)), c
     os.makedirs(tmp_path / "e")
     spark.createDataFrame([], kind).write.parquet(str(tmp_path / "e" / "conversations.parquet"))
     assert [r.conv_id for r in chat.op6_chat_formatting(spark, str(tmp_path / "e")).collect()] == [-7]
 
 
+def test_formatted_parts_join_to_the_whole(spark):
+    rows = [(1, 0, "user", "hi </s>"), (1, 1, "assistant", "a\\b"), (2, 0, "assistant", None)]
+    log = chat.as_events(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    assert {r.kind for r in log.collect()} == {"start", "delta", "edit"}
+    parts = sorted(chat.format_log(log).collect())
+    assert "".join(r.segment for r in parts if r.conv_id == 1) == "<s><|user|>\nhi \\l/s><|end|>\n<|assistant|>\na\\\\b<|end|>\n</s>"
+    whole = "".join(r.segment for r in parts if r.conv_id == 1)
+    assert [whole[r.loss_start : r.loss_end] for r in parts if r.conv_id == 1 and r.loss_start is not None] == ["a\\\\b"]
+    broken = [(1, 0, parts[0].segment[3:], None, None)], [(1, 0, parts[0].segment, None, None)]
+    for rows in broken:
+        with pytest.raises(Exception, match="mark"):
+            chat.digests(spark.createDataFrame(rows, chat.FORMATTED)).collect()
+
+
 # sentencepiece
 
 vit = pieces.Viterbi(SPM, keep=20)
