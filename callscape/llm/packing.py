@@ -1,9 +1,9 @@
 """Best-fit packing by exact-complement hashing.
 
 All decisions are made on the histogram of piece lengths, which has at most
-`capacity` entries however large the corpus is: for each length, descending,
-the gap it leaves is looked up among single lengths, then pair sums, then
-triple sums, and combinations that fill it exactly are consumed as often as
+`capacity` entries however large the corpus is: single, pair and triple sums of
+the lengths that occur are indexed, the gap that each length leaves is looked
+up in them, and combinations that fill it exactly are consumed as often as
 counts allow; what remains is placed best-fit, descending, also by class.
 The result is a table of runs (length, ranks, first sequence, offset) of
 bounded size. Pieces get their rank among pieces of equal length without a
@@ -33,9 +33,35 @@ from .tokens import encoder
 CAPACITY = 4096
 
 
+class Sums:
+    """Index of the sums of one, two and three lengths that occur: each by its largest members, descending.
+
+    Lengths are small whole numbers, so every table is addressed by the sum itself. The index is made once; whether lengths are
+    still to be had is for the caller to see.
+    """
+
+    def __init__(self, count: np.ndarray, capacity: int):
+        self.one = count > 0
+        self.pairs: list[np.ndarray] = []
+        for s in range(capacity + 1):
+            x = np.arange(s - 1, (s + 1) // 2 - 1, -1, dtype=np.int32)
+            self.pairs.append(x[self.one[x] & self.one[s - x]] if len(x) else x)
+        self.least = np.array([p[-1] if len(p) else capacity + 1 for p in self.pairs])  # least of the larger members of a pair sum
+        self.lengths = np.flatnonzero(self.one)[::-1]
+
+    def triples(self, s: int, most: int) -> np.ndarray:
+        """The largest members, up to `most`, of three lengths that sum to s."""
+        x = self.lengths[(self.lengths <= min(most, s - 2)) & (self.lengths * 3 >= s)]
+        return x[self.least[s - x] <= x]
+
+
 def exact_fills(count: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...], int]]:
-    """Consume combinations of at most four lengths that sum to `capacity`; (lengths, times) each. Changes `count`."""
+    """Consume combinations of at most four lengths that sum to `capacity`; (lengths, times) each. Changes `count`.
+
+    For each length, descending, the gap that it leaves is looked up among the single, the pair and the triple sums.
+    """
     out: list[tuple[tuple[int, ...], int]] = []
+    index = Sums(count, capacity)
 
     def take(*lengths: int) -> None:
         times = min(int(count[x]) // lengths.count(x) for x in lengths)
@@ -45,28 +71,26 @@ def exact_fills(count: np.ndarray, capacity: int) -> list[tuple[tuple[int, ...],
             out.append((lengths, times))
 
     def pairs(first: tuple[int, ...], gap: int, most: int) -> None:
-        lo, hi = -(-gap // 2), min(most, gap - 1)
-        if hi < lo:
-            return
-        x = np.arange(hi, lo - 1, -1)
-        for b in x[(count[x] > 0) & (count[gap - x] > 0)]:
-            if count[first[0]] <= 0 or any(count[f] <= 0 for f in first):
+        x = index.pairs[gap]
+        for b in x[(x <= most) & (count[x] > 0) & (count[gap - x] > 0)].tolist():
+            if any(count[f] <= 0 for f in first):
                 return
-            take(*first, int(b), int(gap - b))
+            take(*first, b, gap - b)
 
     if count[capacity]:
         take(capacity)
     for a in range(capacity - 1, 0, -1):
-        if count[a] and (gap := capacity - a) <= a:
+        gap = capacity - a
+        if count[a] and gap <= a and index.one[gap]:
             take(a, gap)
         if count[a]:
-            pairs((a,), gap := capacity - a, min(a, gap - 1))
-        if count[a] and a * 4 >= capacity:
-            for b in np.flatnonzero(count[: min(a, gap - 2) + 1])[::-1]:
-                if not count[a] or b * 3 < gap:
+            pairs((a,), gap, min(a, gap - 1))
+        if count[a]:
+            for b in index.triples(gap, a).tolist():
+                if not count[a]:
                     break
                 if count[b]:
-                    pairs((a, int(b)), gap - int(b), int(b))
+                    pairs((a, b), gap - b, b)
     return out
 
 
