@@ -6,8 +6,12 @@ without a label. With class prior p and loss l the risk is
     p * E_pos[l(+)] + max(0, E_unl[l(-)] - p * E_pos[l(-)])
 
 and where the second term falls below zero its gradient is reversed, so the
-model cannot win by overfitting the positives. The prior is estimated as the
-share of good documents among the labels that training may see.
+model cannot win by overfitting the positives. The prior is estimated from the
+same two sets, without trusted negatives: a first model is fitted to half of
+the positives; where a share q_p of the other half passes a threshold, and q_u
+of the unlabelled, no more than q_u / q_p of the unlabelled can be positive.
+The threshold is the one where that bound with its confidence margin is least,
+and a quarter of the margin is added, since the least of noisy bounds is too low.
 
 Features are whole-text statistics: shares of byte classes and of each ASCII
 punctuation mark, and how words and lines repeat. Training reads a bounded
@@ -18,9 +22,9 @@ Defined results: null and empty texts are scored from all-zero features; rows
 with a null doc_id are scored, never trained on, and are not held out;
 repeated doc_ids are scored each; a document with contradictory labels is no
 trusted positive; where all texts are labelled, those that training may see are
-the unlabelled set, without their labels; without any positive text all scores
-are the prior (0.5 without labels); an empty table gives no rows; other columns are
-passed by.
+the unlabelled set, without their labels; without any positive or unlabelled
+text all scores are 0.5; an empty table gives no rows; other columns are passed
+by.
 """
 
 from __future__ import annotations
@@ -127,6 +131,23 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int =
     return Model(w[:-1], mean, scale, float(w[-1]))
 
 
+def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray, delta: float = 0.1) -> float:
+    """Share of positives in the unlabelled set, from both sets alone: the mean of what either half of the positives gives for the other."""
+    if len(positive) < 2 or not len(unlabelled):
+        return 0.5
+    found = []
+    for half in (0, 1):
+        model = fit(positive[half::2], unlabelled, 0.5)
+        p, u = np.sort(model.score(positive[1 - half :: 2])), np.sort(model.score(unlabelled))
+        at = np.unique(p)
+        q_p = 1 - np.searchsorted(p, at) / len(p)
+        q_u = 1 - np.searchsorted(u, at) / len(u)
+        margin = sum(np.sqrt(np.log(4 / delta) / (2 * n)) for n in (len(p), len(u)))
+        best = int(np.argmin((q_u + margin) / q_p))
+        found.append((q_u[best] + margin / 4) / q_p[best])  # the least of noisy bounds is low, by no more than the margin
+    return float(min(0.99, max(0.01, np.mean(found))))
+
+
 def held_out(doc_id) -> F.Column:
     """Rows whose labels training must not see."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
@@ -138,8 +159,6 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     seen = labels.select(F.col("doc_id").cast("long"), F.col("quality").cast("int").alias("quality"))
     marked = seen.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("low"), F.max("quality").alias("high"))
     usable = marked.where(~held_out(F.col("doc_id")))
-    share = usable.agg(F.avg("low").alias("p")).first().p
-    prior = min(0.99, max(0.01, 0.5 if share is None else share))
     key = F.xxhash64(F.lit("pu"), "doc_id")
     ids = docs.select(F.col("doc_id").cast("long")).where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     chosen = [(r.doc_id, 1) for r in usable.where("low = 1").join(ids.distinct(), "doc_id", "left_semi").orderBy(key, "doc_id").limit(sample).collect()]
@@ -159,7 +178,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     rows = texts.mapInArrow(measure, "doc_id long, trusted int, x binary").groupBy("doc_id", "trusted").agg(F.min("x").alias("x")).collect()
     rows.sort(key=lambda r: r.doc_id)
     x = {k: np.array([np.frombuffer(r.x, np.float32) for r in rows if r.trusted == k], dtype=np.float64).reshape(-1, WIDTH) for k in (0, 1)}
-    return fit(x[1], x[0], prior)
+    return fit(x[1], x[0], estimated_prior(x[1], x[0]))
 
 
 def score(docs: DataFrame, model: Model, column: str) -> DataFrame:
