@@ -10,7 +10,8 @@ models, where a score is a merge's rank, `Bpe` makes the same pass with another
 choice: the piece that ends a position's prefix is the one that merging leaves
 beside the piece before it. Ids equal the library's. If no piece joins text across a word boundary (checked when the
 vocabulary is read), a path is made of the words' paths, so words
-are solved once and remembered, within a bound.
+are solved once and remembered, within a bound. State is held in flat arrays of
+8 (BPE) or 16 bytes a character, so one long text without spaces is bounded too.
 
 Defined results: null and empty texts have no pieces; a U+2581 in a text
 decodes to a space, as in the library; repeated ids each give a row; an empty
@@ -20,7 +21,7 @@ table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import re
-import zlib
+from array import array
 from functools import lru_cache
 
 import numpy as np
@@ -29,6 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import BINARY, LONG, schema, table
+from .tokens import pack
 
 #: The library's mark for a space, and what an unknown character costs below the lowest score.
 SPACE, UNKNOWN_COST = "\u2581", 10.0
@@ -60,31 +62,37 @@ class Viterbi:
         data = char.encode("utf-8", "surrogatepass")
         return [self.bytes[b] for b in data] if self.bytes else [self.unknown]
 
-    def path(self, text: str) -> list[int]:
-        """Best segmentation of a normalised text."""
+    def path(self, text: str) -> array:
+        """Best segmentation of a normalised text. A character costs 16 bytes of state."""
         n = len(text)
-        best: list[float | None] = [0.0] + [None] * n
-        back: list[tuple[int, int]] = [(0, -1)] * (n + 1)
+        best, sizes, ends = array("d", bytes(8 * (n + 1))), array("i", bytes(4 * (n + 1))), array("i", bytes(4 * (n + 1)))
         matches = self.automaton.iter(text)
         coming = next(matches, None)
         for end in range(1, n + 1):
-            single, top, came = False, None, (0, -1)
+            single, top, came, last = False, None, 0, -1
             while coming is not None and coming[0] == end - 1:
                 size, score, piece = coming[1]
                 single |= size == 1
                 reached = best[end - size] + score
                 if top is None or reached > top:
-                    top, came = reached, (end - size, piece)
+                    top, came, last = reached, size, piece
                 coming = next(matches, None)
             if not single and (top is None or best[end - 1] + self.unknown_score > top):
-                top, came = best[end - 1] + self.unknown_score, (end - 1, -1)
-            best[end], back[end] = top, came
-        out, at = [], n
+                top, came, last = best[end - 1] + self.unknown_score, 1, -1
+            best[end], sizes[end], ends[end] = top, came, last
+        return self._walk(text, sizes, ends)
+
+    def _walk(self, text: str, sizes: array, ends: array) -> array:
+        """Ids on the way back from the end; -1 ends a character that is no piece."""
+        out, at = array("I"), len(text)
         while at:
-            start, piece = back[at]
-            out.append([piece] if piece >= 0 else self._spell(text[start:at]))
-            at = start
-        return [i for ids in reversed(out) for i in ids]
+            if ends[at] >= 0:
+                out.append(ends[at])
+            else:
+                out.extend(reversed(self._spell(text[at - sizes[at] : at])))
+            at -= sizes[at]
+        out.reverse()
+        return out
 
     def encode(self, text: str | None) -> bytes:
         """Little-endian u32 piece ids of a text, which is normalised as the model says."""
@@ -92,7 +100,7 @@ class Viterbi:
             return b""
         normal = self.sp.normalize(text)
         if not self.by_word:
-            return np.array(self.path(normal), "<u4").tobytes()
+            return pack(self.path(normal))
         out = []
         cache = self.cache
         for word in self._words(normal):
@@ -100,7 +108,7 @@ class Viterbi:
             if ids is None:
                 ids = self.old.get(word)
                 if ids is None:
-                    ids = np.array(self.path(word), "<u4").tobytes()
+                    ids = pack(self.path(word))
                 if len(word) <= 64:
                     cache[word] = ids
                     if len(cache) > self.keep:
@@ -170,22 +178,20 @@ class Bpe(Viterbi):
         own = self.fits[before, piece] = self.merge("".join(head) + self.text[piece]) == [*head, self.text[piece]]
         return own
 
-    def path(self, text: str) -> list[int]:
-        """Segmentation of a normalised text."""
-        last, sizes, fits = [None, *text], [1] * (len(text) + 1), self.fits
+    def path(self, text: str) -> array:
+        """Segmentation of a normalised text. A character costs 8 bytes of state."""
+        n, fits = len(text), self.fits
+        last, sizes = array("i", [-1]) * (n + 1), array("i", [1]) * (n + 1)  # -1: the character alone
         for end, (size, _, piece) in self.automaton.iter(text):
             end += 1
-            if type(last[end]) is int:
+            if last[end] >= 0:
                 continue
-            before = last[end - size]
+            at = end - size
+            before = last[at] if last[at] >= 0 else text[at - 1] if at else None
             fit = fits.get((before, piece))
             if self._fit(before, piece) if fit is None else fit:
                 last[end], sizes[end] = piece, size
-        out, at = [], len(text)
-        while at:
-            out.append([last[at]] if type(last[at]) is int else self._spell(last[at]))
-            at -= sizes[at]
-        return [i for ids in reversed(out) for i in ids]
+        return self._walk(text, sizes, last)
 
 
 @lru_cache(maxsize=2)

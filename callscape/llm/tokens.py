@@ -20,7 +20,7 @@ TAIL = ",.!?;:|*&%$#"
 LATIN_END = "\u0180"
 
 
-def pack(ids: list[int]) -> bytes:
+def pack(ids: list[int] | array) -> bytes:
     """Little-endian unsigned 32-bit integers."""
     packed = array("I", ids)
     if sys.byteorder == "big":
