@@ -342,7 +342,7 @@ def test_substrings_equal_brute_force(spark):
     texts |= {70: texts[3], 71: texts[3] + " x", 72: "a " * 200, 73: "a " * 300, 74: None, 75: "", 76: "b\t" * 49}
     want = removed_words(texts.items())
     df = docs_of(spark, texts)
-    for batches in (1, 3):
+    for batches in (1, 4):
         kept = {r.doc_id: r.text for r in substrings.dedup(df, batches=batches).collect()}
         assert {i: WORD.findall(t or "") for i, t in kept.items()} == want
     found = substrings.digests(df, substrings.covered(df)).collect()
@@ -356,12 +356,33 @@ def test_substring_edges_and_log(spark):
     got = Counter((r.doc_id, r.text) for r in out.collect())
     assert got == Counter((d, "" if d == 5 else t) for d, t in EDGES)
     assert substrings.dedup(docs_of(spark, [])).count() == 0
-    log = substrings.FingerprintIndex(fan=2)
-    hits = []
-    for k in range(5):
+
+
+def test_log_of_runs(spark, tmp_path):
+    path, hits = str(tmp_path / "log"), []
+    for k in range(5):  # opened anew for each batch, as in later sessions
+        log = substrings.FingerprintIndex(spark, path, buckets=3, fan=2)
         batch = spark.createDataFrame([(h, 10 * k + h % 3) for h in range(k, k + 3)], "h long, tkey long")
+        if k == 1:  # history is read by its buckets: only the batch is dealt out
+            run, past = log.run(log._write(batch.groupBy("h").agg(F.min("tkey").alias("lo"), F.max("tkey").alias("hi")))), log.run(log.runs[0])
+            plan = run.join(past.hint("merge"), "h")._jdf.queryExecution().executedPlan().toString()
+            assert "SortMergeJoin" in plan and "Exchange" not in plan
         hits.append({r.h for r in log.append(batch).collect()})
-    assert hits == [set(), {1, 2}, {2, 3}, {3, 4}, {4, 5}] and len(log.runs) <= 2
+        assert len(log.runs) <= 2
+        log.close()
+    assert hits == [set(), {1, 2}, {2, 3}, {3, 4}, {4, 5}]
+    log = substrings.FingerprintIndex(spark, path)
+    assert log.buckets == 3 and {r.h for n in log.runs for r in log.run(n).collect()} == set(range(7))
+    log.close(delete=True)
+    assert not os.path.exists(path)
+
+
+def test_texts_with_one_key_in_common_stay_apart(spark):
+    """The first hash of a text does not decide alone."""
+    texts = {1: " ".join(f"a{k}" for k in range(60)), 2: " ".join(f"b{k}" for k in range(60)), 3: " ".join(f"a{k}" for k in range(60))}
+    marks = substrings.fingerprints(docs_of(spark, texts)).withColumn("tkey", F.lit(5).cast("long"))
+    found = substrings.verify(docs_of(spark, texts).limit(0), marks, spark.createDataFrame([], "h long")).collect()
+    assert [(r.doc_id, r.starts) for r in found] == [(3, None)]
 
 
 @given(st.integers(0, 120), st.integers(0, 2**32))
@@ -633,7 +654,7 @@ def test_viterbi_is_optimal_and_reversible():
         got = sum(score.get(vit.text[i], 0.0) for i in np.frombuffer(ids, "<u4").tolist() if i not in vit.value)
         unknown = sum(1 for c in normal if c not in score)
         assert abs(got + unknown * vit.unknown_score - want) < 1e-3
-        assert ids == np.array(vit.path(normal), "<u4").tobytes()  # by word or whole: the same
+        assert ids == tokens.pack(vit.path(normal))  # by word or whole: the same
 
 
 bpe = pieces.Bpe(SPM, keep=20, pairs=50)
