@@ -26,6 +26,7 @@ def main(argv: list[str] | None = None) -> int:
     index.add_argument("root")
     index.add_argument("--rebuild", action="store_true")
     index.add_argument("--dot", action="store_true")
+    index.add_argument("--scip", help="a reference index whose edges join the graph")
     query = sub.add_parser("query", help="run a query, one JSON object a row")
     query.add_argument("text")
     query.add_argument("--root", default=".")
@@ -43,7 +44,7 @@ def main(argv: list[str] | None = None) -> int:
         return 0
     tools = Tools(session(), args.root)
     if args.command == "index":
-        report = tools.index_repository(rebuild=args.rebuild)
+        report = tools.index_repository(rebuild=args.rebuild, scip=args.scip)
         print(to_dot(report, args.root) if args.dot else json.dumps(report))
         return 0
     if args.command == "query":

@@ -39,12 +39,14 @@ FRAMEWORKS = {
 }
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with the value worked out once however often `use` reads it; what is inside stays out of generated code."""
+    return F.transform(F.array(value), use)[0]
+
+
 def _lookup(table: dict[str, str], key: Column) -> Column:
-    """A small fixed table as a chain of cases, so a miss is null."""
-    out = None
-    for k, v in table.items():
-        out = F.when(key == k, v) if out is None else out.when(key == k, v)
-    return out
+    """A small fixed table as one map, so that the key is worked out once; a miss is null."""
+    return F.try_element_at(F.create_map(*(F.lit(x) for pair in table.items() for x in pair)), key)
 
 
 def extension(path: Column) -> Column:
@@ -61,7 +63,7 @@ def separator(lang: Column) -> Column:
 
 
 def family(lang: Column) -> Column:
-    return F.when(lang.isin(*FAMILY_A), "A").when(lang.isin(*FAMILY_B), "B")
+    return _lookup({x: "A" for x in FAMILY_A} | {x: "B" for x in FAMILY_B}, lang)
 
 
 def last_segment(fqn: Column) -> Column:
@@ -85,30 +87,28 @@ def strip_quotes(text: Column) -> Column:
 
 
 def prefix(path: Column, lang: Column) -> Column:
-    """Qualified-name prefix of a file, by its language."""
+    """Qualified-name prefix of a file, by its language; null without a language."""
+    head = lambda parts, n: F.slice(parts, F.lit(1), F.greatest(F.size(parts) - n, F.lit(0)))
+    droppable = F.create_map(*(x for k, words in DROPPED.items() for x in (F.lit(k), F.array(*map(F.lit, words)))))
+
+    def rooted(parts: Column) -> Column:
+        """Without what is up to the first source root that has a part after it."""
+        root = lambda i: (F.slice(parts, i, F.lit(3)) == F.array(F.lit("src"), F.lit("main"), F.lit("java"))) & (i + 3 <= F.size(parts))
+        first = F.get(F.filter(F.sequence(F.lit(1), F.greatest(F.size(parts), F.lit(1))), root), F.lit(0))
+        return let(first, lambda at: F.when(at.isNotNull(), F.slice(parts, at + 3, F.size(parts))).otherwise(parts))
+
+    def chosen(parts: Column) -> Column:
+        drop = F.coalesce(F.array_contains(F.try_element_at(droppable, lang), F.try_element_at(parts, F.lit(-1))), F.lit(False))
+        return F.when(lang == "go", head(parts, 1)).when(lang.isin("java", "scala"), rooted(parts)).when(drop, head(parts, 1)).otherwise(parts)
+
     stem = F.regexp_replace(path, r"([^/])\.[^./]*$", "$1")
     parts = F.filter(F.split(stem, "/"), lambda p: ~p.isin("", "."))
-    last = F.try_element_at(parts, F.lit(-1))
-    droppable = F.lit(False)
-    for k, words in DROPPED.items():
-        droppable = F.when(lang == k, last.isin(*words)).otherwise(droppable)
-    head = lambda x, n: F.slice(x, F.lit(1), F.greatest(F.size(x) - n, F.lit(0)))
-    # a source root must have at least one part after it
-    root = lambda i: (F.slice(parts, i, F.lit(3)) == F.array(F.lit("src"), F.lit("main"), F.lit("java"))) & (i + 3 <= F.size(parts))
-    at = F.filter(F.sequence(F.lit(1), F.greatest(F.size(parts), F.lit(1))), root)
-    rooted = F.when(F.size(at) > 0, F.slice(parts, F.try_element_at(at, F.lit(1)) + 3, F.size(parts))).otherwise(parts)
-    chosen = F.when(lang == "go", head(parts, 1)).when(lang.isin("java", "scala"), rooted).when(F.coalesce(droppable, F.lit(False)), head(parts, 1)).otherwise(parts)
-    joined = None
-    for k, sep in SEPARATORS.items():
-        one = F.array_join(chosen, sep)
-        joined = F.when(lang == k, one) if joined is None else joined.when(lang == k, one)
-    return joined
+    return let(parts, lambda p: F.call_function("array_join", chosen(p), separator(lang)))
 
 
 def qualified(path: Column, lang: Column, name: Column) -> Column:
     """Prefix, separator and bare name; an empty prefix leaves the name."""
-    p = prefix(path, lang)
-    return F.when(p == "", name).otherwise(F.concat(p, separator(lang), name))
+    return let(prefix(path, lang), lambda p: F.when(p == "", name).otherwise(F.concat(p, separator(lang), name)))
 
 
 def framework(lang: Column, text: Column) -> Column:

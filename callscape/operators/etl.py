@@ -1,21 +1,20 @@
 """From facts to graph: nodes, name resolution, call and route edges, and incremental refresh.
 
-Every step is a join or an aggregation over frames. Resolution depends on all
-definitions of a project, so a refresh keeps unchanged files' facts, parses
-only new and modified files, and resolves again: the result equals a rebuild.
+Every step is a join or an aggregation over frames. A refresh costs what has
+changed: it parses new and modified files, resolves names again where that can
+make a difference, and adds parts to the store.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.names import ROUTE_LANGUAGES, framework, last_segment, qualified
 from ..model import NODE_KINDS, Graph, edge_set, node_id, ordinal
 from ..sources import repo
-from ..sources.store import Store, counts
+from ..sources.store import FAN, PARTED, Store, counts
+from .scip import scip_edges
 from .spans import enclosing
 
 
@@ -61,60 +60,59 @@ def resolve(references: DataFrame, defs: DataFrame) -> DataFrame:
 
 
 def call_edges(calls: DataFrame, defs: DataFrame, files: DataFrame) -> DataFrame:
-    """CALLS edges: from the smallest definition around a call, else from its file, to what its name resolves to; no self edges."""
+    """CALLS edges (file, src, dst, kind): from the smallest definition around a call, else from its file, to what its name resolves to; no self edges."""
     sites = calls.select("file", F.col("name").alias("short"), F.col("byte_start").alias("at")).distinct()
     bound = resolve(sites, defs).where("target_id is not null")
     around = enclosing(bound, defs)
     by_file = files.select("file", F.col("id").alias("file_id"))
-    edges = around.join(by_file, "file", "left").select(F.coalesce("id_found", "file_id").alias("src"), F.col("target_id").alias("dst"), F.lit("CALLS").alias("kind"))
-    return edge_set(edges.where("src is not null and src <> dst"))
+    edges = around.join(by_file, "file", "left").select("file", F.coalesce("id_found", "file_id").alias("src"), F.col("target_id").alias("dst"), F.lit("CALLS").alias("kind"))
+    return edges.where("src is not null and src <> dst").distinct()
 
 
 def route_edges(routes: DataFrame, defs: DataFrame) -> DataFrame:
-    """ROUTES edges from routes to their named handlers, found in the file first, then anywhere."""
+    """ROUTES edges (file, src, dst, kind) from routes to their named handlers, found in the file first, then anywhere."""
     fqn = F.concat_ws(" ", "method", "pattern")
     named = routes.where("handler_name is not null").select("file", F.col("handler_name").alias("short"), node_id(F.col("file"), fqn, F.lit("Route"), F.col("byte_start")).alias("src"))
     found = resolve(named, defs).where("target_id is not null")
-    return edge_set(found.select("src", F.col("target_id").alias("dst"), F.lit("ROUTES").alias("kind")))
+    return found.select("file", "src", F.col("target_id").alias("dst"), F.lit("ROUTES").alias("kind")).distinct()
 
 
-def eligible(sources: DataFrame) -> DataFrame:
-    """Paths whose language can have routes and whose text shows a framework."""
-    text = F.col("content").cast("string")
-    return sources.where(F.col("lang").isin(*ROUTE_LANGUAGES) & framework(F.col("lang"), text).isNotNull()).select(F.col("path").alias("file"))
+def facts_of(sources: DataFrame, only_defined: bool = False) -> DataFrame:
+    """Parsed sources, a row a file with arrays of defs, calls, imports and routes.
 
+    Only files whose language can have routes and whose text shows a framework have routes. `only_defined` leaves out calls
+    and routes of files without any definition.
+    """
+    parsed = repo.parse(sources)
+    none = lambda c: F.slice(c, 1, 0)
+    eligible = F.col("lang").isin(*ROUTE_LANGUAGES) & framework(F.col("lang"), F.col("content").cast("string")).isNotNull()
+    parsed = parsed.withColumn("routes", F.when((F.size("routes") > 0) & eligible, F.col("routes")).otherwise(none("routes")))
+    if only_defined:
+        for c in ("calls", "routes"):
+            parsed = parsed.withColumn(c, F.when(F.size("defs") > 0, F.col(c)).otherwise(none(c)))
+    return parsed
 
-@dataclass(frozen=True)
-class Facts:
-    """Persisted facts of a project; everything else follows from them."""
 
-    files: DataFrame
-    sizes: DataFrame
-    defs: DataFrame
-    calls: DataFrame
-    imports: DataFrame
-    routes: DataFrame
+def exploded(facts: DataFrame, kind: str) -> DataFrame:
+    """Flat rows of one kind of fact: defs, calls, imports or routes."""
+    return facts.select("file", "lang", F.explode(kind).alias("x")).select("file", "lang", "x.*")
 
 
-def facts_of(sources: DataFrame, only_defined: bool = False) -> Facts:
-    """Parse sources. `only_defined` leaves out calls and routes of files without any definition."""
-    parsed = repo.parse(sources).cache()
-    defs, calls, imports, routes = (repo.exploded(parsed, k) for k in ("defs", "calls", "imports", "routes"))
-    routes = routes.join(eligible(sources), "file", "left_semi")
-    if only_defined:
-        having = defs.select("file").distinct()
-        calls, routes = calls.join(having, "file", "left_semi"), routes.join(having, "file", "left_semi")
-    sizes = sources.where("content is not null").select(F.col("path").alias("file"), F.octet_length("content").cast("long").alias("size"))
-    return Facts(repo.file_records(sources), sizes, defs, calls, imports, routes.drop("lang"))
+def nodes_of(facts: DataFrame) -> DataFrame:
+    files = file_nodes(facts.where("content is not null").select("file", "size"))
+    return files.unionByName(definition_nodes(exploded(facts, "defs"))).unionByName(route_nodes(exploded(facts, "routes")))
+
 
+def edges_of(facts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges (file, src, dst, kind) from the given facts, resolved over all nodes."""
+    files, defs = nodes.where("kind = 'File'"), nodes.where("kind not in ('File', 'Route')")
+    return call_edges(exploded(facts, "calls"), defs, files).unionByName(route_edges(exploded(facts, "routes"), defs))
 
-def graph_of(facts: Facts, more_edges: DataFrame | None = None) -> Graph:
-    files, defs = file_nodes(facts.sizes), definition_nodes(facts.defs)
-    nodes = files.unionByName(defs).unionByName(route_nodes(facts.routes))
-    edges = call_edges(facts.calls, defs, files).unionByName(route_edges(facts.routes, defs))
-    if more_edges is not None:
-        edges = edges.unionByName(more_edges)
-    return Graph(nodes, edge_set(edges))
+
+def graph_of(facts: DataFrame, more_edges: DataFrame | None = None) -> Graph:
+    nodes = nodes_of(facts)
+    edges = edges_of(facts, nodes).select("src", "dst", "kind")
+    return Graph(nodes, edge_set(edges if more_edges is None else edges.unionByName(more_edges)))
 
 
 # change detection
@@ -147,38 +145,100 @@ def languages_seen(sources: DataFrame) -> DataFrame:
     return sources.agg(F.sort_array(F.collect_set("lang")).alias("languages"))
 
 
-def refresh(store: Store, sources: DataFrame, rebuild: bool = False) -> dict:
-    """Bring a project's snapshot up to date with its sources; the counters of what changed, and of the graph.
+def _status(current: DataFrame, store: Store, state: dict | None) -> DataFrame:
+    """Every file of now or before: path, status, and its record of now with the parts that hold its rows so far."""
+    now = current.select("path", F.unhex(F.sha2("content", 256)).alias("content_hash"), "mtime_ns", "lang")
+    if state is None:
+        return now.select("*", F.lit("new").alias("status"), F.lit(None).cast("long").alias("version"), F.lit(None).cast("long").alias("edge_version"))
+    before = store.whole("files", state)
+    status = classify(before, now)
+    return status.join(now, "path", "left").join(before.select("path", "version", "edge_version"), "path", "left").select("path", "content_hash", "mtime_ns", "lang", "status", "version", "edge_version")
+
+
+def _touched(facts: DataFrame, changed: DataFrame, old_nodes: DataFrame, fresh_nodes: DataFrame) -> DataFrame:
+    """Files whose edges may change: those that did, and those that call, or route to, a name that changed files have or had."""
+    gone = old_nodes.join(changed.withColumnRenamed("path", "file"), "file", "left_semi")
+    names = gone.unionByName(fresh_nodes).where("kind not in ('File', 'Route')").select(last_segment(F.col("fqn")).alias("name")).distinct()
+    uses = exploded(facts, "calls").select("file", "name").unionByName(exploded(facts, "routes").select("file", F.col("handler_name").alias("name")))
+    return uses.join(names, "name", "left_semi").select("file").unionByName(changed.select(F.col("path").alias("file"))).distinct()
+
+
+def refresh(store: Store, sources: DataFrame, rebuild: bool = False, occurrences: DataFrame | None = None) -> dict:
+    """Bring a project's store up to date with its sources; the counters of what changed, and of the graph.
 
-    Nothing is written where nothing changed. Facts of unchanged files are kept; names are resolved over all facts.
+    Nothing is written where nothing changed. Only new and modified files are parsed. Names are resolved again in the files that
+    changed and in those that use a name which a changed file has or had, so the result equals a rebuild. `occurrences` are those
+    of an external reference index; its edges are kept up to date with the rest from then on.
     """
-    spark = store.spark
-    sources = sources.cache()
-    records = repo.file_records(sources)
-    known = store.exists() and not rebuild
-    previous = store.table("files") if known else records.limit(0)
-    status = classify(previous, sources.select("path", F.unhex(F.sha2("content", 256)).alias("content_hash"))).cache()
-    report = change_counts(status).first().asDict()
-    report["languages_seen"] = languages_seen(sources).first().languages
-    if known and not (report["new"] or report["modified"] or report["deleted"]):
-        return report | counts(store.graph()).first().asDict()
-    changed = status.where("status in ('new', 'modified')").select("path")
-    fresh = facts_of(sources.join(changed, "path", "left_semi"))
-    if known:
+    before = store.state()
+    state = None if rebuild else before
+    number = (before or {"version": 0})["version"] + 1
+    held: list[DataFrame] = []
+
+    def hold(df: DataFrame) -> DataFrame:
+        held.append(df.persist())
+        return held[-1]
+
+    try:
+        current = hold(sources)
+        status = hold(_status(current, store, state))
+        tally = (F.count_if(F.col("status") == s).alias(s) for s in ("new", "unchanged", "modified", "deleted"))
+        report = status.agg(*tally, F.sort_array(F.collect_set(F.when(F.col("status") != "deleted", F.col("lang")))).alias("languages_seen")).first().asDict()
+        if state and occurrences is None and not (report["new"] or report["modified"] or report["deleted"]):
+            return report | state["counts"]
+        changed = status.where("status <> 'unchanged'").select("path")
+        compact = state is None or len(state["parts"]["facts"]) >= FAN
+        parts = {name: [] if compact else list(state["parts"][name]) for name in PARTED}
         stay = status.where("status = 'unchanged'").select(F.col("path").alias("file"))
-        old = lambda name: store.table(name).join(stay, "file", "left_semi")
-        fresh = Facts(
-            records,
-            sources.where("content is not null").select(F.col("path").alias("file"), F.octet_length("content").cast("long").alias("size")),
-            *(getattr(fresh, n).unionByName(old(n).select(*getattr(fresh, n).columns)) for n in ("defs", "calls", "imports", "routes")),
-        )
-    graph = graph_of(fresh)
-    texts = sources.where("content is not null").select("path", "content")
-    store.write({"files": fresh.files, "nodes": graph.nodes, "edges": graph.edges, "defs": fresh.defs, "calls": fresh.calls, "imports": fresh.imports, "routes": fresh.routes, "sources": texts})
-    for df in (sources, status):
-        df.unpersist()
-    spark.catalog.clearCache()
-    return report | counts(store.graph()).first().asDict()
+        kept = lambda name: store.live(name, state).join(stay, "file", "left_semi")
+
+        def add(name: str, fresh: DataFrame, rest: DataFrame | None = None) -> DataFrame:
+            """Store a part: the fresh rows, and where parts are written together the rest."""
+            folder = store.put(name, fresh if rest is None or not compact else fresh.unionByName(rest.select(*fresh.columns)))
+            parts[name].append([number, folder])
+            return store.part(folder)
+
+        if state is None:
+            facts = add("facts", facts_of(current))
+            nodes = add("nodes", nodes_of(facts))
+            add("edges", edges_of(facts, nodes))
+            touched = stay
+        else:
+            old_facts, old_nodes = kept("facts"), kept("nodes")
+            fresh = facts_of(current.join(changed, "path", "left_semi"))
+            part = add("facts", fresh, old_facts)
+            fresh = part.join(changed.withColumnRenamed("path", "file"), "file", "left_semi")
+            facts = fresh.unionByName(old_facts.select(*fresh.columns))
+            part = add("nodes", nodes_of(fresh), old_nodes)
+            own = part.join(changed.withColumnRenamed("path", "file"), "file", "left_semi")
+            nodes = hold(own.unionByName(old_nodes.select(*own.columns)))
+            touched = hold(_touched(facts, changed, store.live("nodes", state), own))
+            some = hold(facts.join(touched, "file", "left_semi").select("file", "lang", "calls", "routes"))
+            add("edges", edges_of(some, nodes), store.live("edges", state).join(stay, "file", "left_semi").join(touched, "file", "left_anti"))
+        again = touched.select(F.col("file").alias("path"), F.lit(True).alias("again"))
+        version = F.lit(number).cast("long")
+        fresh_edges = F.lit(compact) | (F.col("status") != "unchanged") | F.col("again").isNotNull()
+        records = status.where("status <> 'deleted' and content_hash is not null").join(again, "path", "left").select(
+            "path", "content_hash", "mtime_ns", "lang",
+            F.when(F.lit(compact) | (F.col("status") != "unchanged"), version).otherwise(F.col("version")).alias("version"),
+            F.when(fresh_edges, version).otherwise(F.col("edge_version")).alias("edge_version"),
+        )
+        made = {"version": number, "parts": parts, "tables": {"files": store.put("files", records)}}
+        index = occurrences if occurrences is not None else store.whole("occurrences", state) if state else None
+        if index is not None:
+            kept_index = store.put("occurrences", index) if occurrences is not None else state["tables"]["occurrences"]
+            texts = facts.where("content is not null").select(F.col("file").alias("document"), F.col("content").cast("string").alias("text"))
+            edges, _ = scip_edges(store.part(kept_index), texts, nodes)
+            made["tables"] |= {"occurrences": kept_index, "scip": store.put("scip", edges)}
+        edges = store.live("edges", made).select("src", "dst", "kind")
+        if "scip" in made["tables"]:
+            edges = edges.unionByName(store.whole("scip", made))
+        made["counts"] = counts(Graph(nodes, edges)).first().asDict()
+        store.commit(made)
+        return report | made["counts"]
+    finally:
+        for df in held:
+            df.unpersist()
 
 
 def byte_slice(content: Column, start: Column, end: Column) -> Column:

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.names import short_name
@@ -18,14 +17,21 @@ def is_test(file: Column) -> Column:
     return F.contains(file, F.lit("test")) | F.contains(file, F.lit("spec"))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut lineage by a table in the shared folder that the session names, so lost executors cost no more than a step."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names for what driver and executors share; a temporary one only where all tasks run in the driver's process."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir is unset: name a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="callscape-")
         spark.sparkContext.setCheckpointDir(base)
-    path = os.path.join(base, f"step-{uuid.uuid4().hex[:12]}")
+    return base.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cut lineage by a table in the shared folder, so lost executors cost no more than a step."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/step-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -42,8 +48,8 @@ def trace(graph: Graph, name: str, direction: str = "both", depth: int = 3, incl
     edges = graph.edges.where(F.col("kind").isin(*edge_types)).select("src", "dst")
     steps = {"outbound": [edges], "inbound": [edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))]}.get(direction)
     steps = steps or [edges, edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))]
-    links = steps[0] if len(steps) == 1 else steps[0].unionByName(steps[1])
-    there = nodes.select("id")
+    links = cut(steps[0] if len(steps) == 1 else steps[0].unionByName(steps[1]))  # every step reads them
+    there = cut(nodes.select("id"))
     seen = cut(starts.select("id", F.lit(0).alias("depth")))
     frontier = seen.select("id")
     for d in range(1, depth + 1):

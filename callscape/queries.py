@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import queries_sources
 from .functions import names
 from .model import Graph, edge_set
 from .operators import etl, evaluate, scip, spans, traverse
@@ -56,7 +57,7 @@ def _sql(text: str) -> str:
     return text.format(**{t: t for t in TABLES})
 
 
-WITH = f"WITH nodes AS ({_sql(NODES_SQL)}), edges AS ({_sql(EDGES_SQL)}) "
+WITH = f"WITH nodes AS MATERIALIZED ({_sql(NODES_SQL)}), edges AS MATERIALIZED ({_sql(EDGES_SQL)}) "
 FILES = f"WITH f AS ({_sql(PATHS_SQL)}) "
 
 
@@ -200,10 +201,10 @@ _register("e5_edge_histogram_compat", lambda s, d: traverse.edge_histogram(fixtu
 
 
 def _architecture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return traverse.architecture(fixture(spark, sf_dir)).select("total_nodes", "total_edges", "functions", "routes", "file_count")
+    return traverse.architecture(fixture(spark, sf_dir)).select("total_nodes", "total_edges", "functions", "routes", "file_count", F.array_join("languages", ",").alias("languages"))
 
 
-_register("e6_architecture", _architecture, WITH + "SELECT (SELECT count(*) FROM nodes) AS total_nodes, (SELECT count(*) FROM edges) AS total_edges, (SELECT count(*) FROM nodes WHERE kind IN ('Function', 'Method')) AS functions, (SELECT count(*) FROM nodes WHERE kind = 'Route') AS routes, (SELECT count(*) FROM nodes WHERE kind = 'File') AS file_count")
+_register("e6_architecture", _architecture, WITH + "SELECT (SELECT count(*) FROM nodes) AS total_nodes, (SELECT count(*) FROM edges) AS total_edges, (SELECT count(*) FROM nodes WHERE kind IN ('Function', 'Method')) AS functions, (SELECT count(*) FROM nodes WHERE kind = 'Route') AS routes, (SELECT count(*) FROM nodes WHERE kind = 'File') AS file_count, '' AS languages")
 _register("l11_dead_code", lambda s, d: traverse.dead_code(fixture(s, d), ("Class", "Struct", "Method")).select("fqn"), WITH + "SELECT fqn FROM nodes WHERE kind IN ('Class', 'Struct', 'Method') AND id NOT IN (SELECT dst FROM edges WHERE kind IN ('CALLS', 'ROUTES'))")
 
 
@@ -269,10 +270,10 @@ _register("d13_sweep_edges", _sweep("edges"), WITH + _DEAD + "SELECT src, dst, k
 _LANG_SQL = "CASE WHEN ends_with(path, '.rs') THEN 'rust' WHEN ends_with(path, '.py') THEN 'python' WHEN ends_with(path, '.js') THEN 'javascript' WHEN ends_with(path, '.ts') THEN 'typescript' WHEN ends_with(path, '.tsx') THEN 'tsx' WHEN ends_with(path, '.go') THEN 'go' WHEN ends_with(path, '.java') THEN 'java' WHEN ends_with(path, '.hpp') THEN 'cpp' WHEN ends_with(path, '.cs') THEN 'csharp' WHEN ends_with(path, '.php') THEN 'php' WHEN ends_with(path, '.scala') THEN 'scala' WHEN ends_with(path, '.lua') THEN 'lua' END"
 _register("a2_language", lambda s, d: files(s, d).select("path", names.language(F.col("path")).alias("lang")), FILES + f"SELECT path, {_LANG_SQL} AS lang FROM f")
 _register("h13_family", lambda s, d: files(s, d).select("path", names.family(names.language(F.col("path"))).alias("family")), FILES + f"SELECT path, CASE WHEN ({_LANG_SQL}) IN ('python', 'typescript', 'javascript', 'tsx', 'php', 'lua') THEN 'A' WHEN ({_LANG_SQL}) IS NOT NULL THEN 'B' END AS family FROM f")
-_register("fq_prefixes", lambda s, d: files(s, d).where("doc_id % 14 <> 13").select("path", names.prefix(F.col("path"), names.language(F.col("path"))).alias("prefix")), FILES + r"""SELECT path, CASE doc_id % 14
+_register("fq_prefixes", lambda s, d: files(s, d).select("path", names.prefix(F.col("path"), names.language(F.col("path"))).alias("prefix")), FILES + r"""SELECT path, CASE doc_id % 14
   WHEN 0 THEN concat('src::m', doc_id) WHEN 1 THEN concat('pkg.m', doc_id) WHEN 2 THEN concat('web/m', doc_id) WHEN 3 THEN concat('web/m', doc_id) WHEN 4 THEN concat('web/v', doc_id)
   WHEN 5 THEN concat('srv/g', doc_id) WHEN 6 THEN concat('com.x.C', doc_id) WHEN 7 THEN concat('lib::c', doc_id) WHEN 8 THEN concat('net.N', doc_id) WHEN 9 THEN concat('php\p', doc_id)
-  WHEN 10 THEN concat('y.S', doc_id) WHEN 11 THEN concat('l.m', doc_id) ELSE concat('pkg.t', doc_id) END AS prefix FROM f WHERE doc_id % 14 <> 13""")
+  WHEN 10 THEN concat('y.S', doc_id) WHEN 11 THEN concat('l.m', doc_id) WHEN 12 THEN concat('pkg.t', doc_id) END AS prefix FROM f""")
 _register("h7_last_segment", lambda s, d: fixture(s, d).nodes.select("id", names.last_segment(F.col("fqn")).alias("short")), WITH + r"SELECT id, regexp_extract(fqn, '([^:./\\]*)$', 1) AS short FROM nodes")
 _register("h8_fqn_tail", lambda s, d: fixture(s, d).nodes.select("id", names.fqn_tail(F.col("fqn")).alias("tail")), WITH + "SELECT id, regexp_extract(fqn, '([^.]*)$', 1) AS tail FROM nodes")
 _register("h9_short_name", lambda s, d: fixture(s, d).nodes.select("id", names.short_name(F.regexp_replace("fqn", r"\.", "::")).alias("short")), WITH + "SELECT id, regexp_extract(fqn, '([^.]*)$', 1) AS short FROM nodes")
@@ -346,10 +347,10 @@ def _pair_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = evaluate.graph_edge_pairs(fixture(spark, sf_dir), ("SCIP",))
     truth = pairs.where("length(callee) % 3 <> 0 or caller > 'C'")
     tool = pairs.where("caller < 'S'")
-    return evaluate.edge_pair_f1(truth, tool).drop("missing_sample", "extra_sample")
+    return evaluate.edge_pair_f1(truth, tool).withColumn("missing_sample", F.array_join("missing_sample", ";")).withColumn("extra_sample", F.array_join("extra_sample", ";"))
 
 
-_register("i6_edge_pair_f1", _pair_scores, WITH + ", p AS (SELECT DISTINCT regexp_extract(a.fqn, '([^.]*)$', 1) AS caller, regexp_extract(b.fqn, '([^.]*)$', 1) AS callee FROM edges e JOIN nodes a ON a.id = e.src JOIN nodes b ON b.id = e.dst WHERE e.kind = 'SCIP'), t AS (SELECT * FROM p WHERE length(callee) % 3 <> 0 OR caller > 'C'), g AS (SELECT * FROM p WHERE caller < 'S'), c AS (SELECT (SELECT count(*) FROM t) AS ground_truth_pairs, (SELECT count(*) FROM g) AS tool_pairs, (SELECT count(*) FROM (SELECT * FROM t INTERSECT SELECT * FROM g)) AS true_pos, (SELECT count(*) FROM (SELECT * FROM g EXCEPT SELECT * FROM t)) AS false_pos, (SELECT count(*) FROM (SELECT * FROM t EXCEPT SELECT * FROM g)) AS false_neg), r AS (SELECT *, true_pos / (true_pos + false_pos) AS precision, true_pos / (true_pos + false_neg) AS recall FROM c) SELECT *, 2 * precision * recall / (precision + recall) AS f1 FROM r")
+_register("i6_edge_pair_f1", _pair_scores, WITH + ", p AS (SELECT DISTINCT regexp_extract(a.fqn, '([^.]*)$', 1) AS caller, regexp_extract(b.fqn, '([^.]*)$', 1) AS callee FROM edges e JOIN nodes a ON a.id = e.src JOIN nodes b ON b.id = e.dst WHERE e.kind = 'SCIP'), t AS (SELECT * FROM p WHERE length(callee) % 3 <> 0 OR caller > 'C'), g AS (SELECT * FROM p WHERE caller < 'S'), c AS (SELECT (SELECT count(*) FROM t) AS ground_truth_pairs, (SELECT count(*) FROM g) AS tool_pairs, (SELECT count(*) FROM (SELECT * FROM t INTERSECT SELECT * FROM g)) AS true_pos, (SELECT count(*) FROM (SELECT * FROM g EXCEPT SELECT * FROM t)) AS false_pos, (SELECT count(*) FROM (SELECT * FROM t EXCEPT SELECT * FROM g)) AS false_neg), r AS (SELECT *, true_pos / (true_pos + false_pos) AS precision, true_pos / (true_pos + false_neg) AS recall FROM c) SELECT *, 2 * precision * recall / (precision + recall) AS f1, coalesce((SELECT string_agg(concat(caller, ' -> ', callee), ';' ORDER BY caller, callee) FROM (SELECT * FROM (SELECT * FROM t EXCEPT SELECT * FROM g) ORDER BY caller, callee LIMIT 10)), '') AS missing_sample, coalesce((SELECT string_agg(concat(caller, ' -> ', callee), ';' ORDER BY caller, callee) FROM (SELECT * FROM (SELECT * FROM g EXCEPT SELECT * FROM t) ORDER BY caller, callee LIMIT 10)), '') AS extra_sample FROM r")
 
 
 def _line_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -360,5 +361,9 @@ def _line_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
 _register("h26_line_offsets", _line_offsets, FILES + ", l AS (SELECT path, generate_subscripts(s, 1) - 1 AS line, unnest(s) AS content FROM (SELECT path, string_split(text, chr(10)) AS s FROM f WHERE text IS NOT NULL)), o AS (SELECT path, line, coalesce(sum(octet_length(encode(content)) + 1) OVER (PARTITION BY path ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS line_start FROM l) SELECT path AS document, max(line) AS lines, CAST(max(line_start) AS BIGINT) AS last, CAST(sum(line_start) AS BIGINT) AS total FROM o GROUP BY path")
 
 
+QUERIES |= queries_sources.QUERIES
+ORACLE_SQL |= queries_sources.ORACLE_SQL
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QUERIES["d4_three_hops"](spark, sf_dir)

@@ -114,48 +114,49 @@ def file_records(sources: DataFrame) -> DataFrame:
     return sources.where("content is not null").select("path", F.unhex(F.sha2("content", 256)).alias("content_hash"), "mtime_ns", "lang")
 
 
-FACTS = (
-    "file string, lang string, error string, size long, "
-    "defs array<struct<kind: string, name: string, byte_start: long, byte_end: long>>, "
-    "calls array<struct<name: string, receiver: string, byte_start: long>>, "
-    "imports array<struct<name: string, module: string>>, "
-    "routes array<struct<method: string, pattern: string, handler_name: string, byte_start: long, byte_end: long, handler_line: long>>"
-)
+#: Fields of the kinds of facts.
+FIELDS = {
+    "defs": (("kind", "string"), ("name", "string"), ("byte_start", "long"), ("byte_end", "long")),
+    "calls": (("name", "string"), ("receiver", "string"), ("byte_start", "long")),
+    "imports": (("name", "string"), ("module", "string")),
+    "routes": (("method", "string"), ("pattern", "string"), ("handler_name", "string"), ("byte_start", "long"), ("byte_end", "long"), ("handler_line", "long")),
+}
+FACTS = "file string, lang string, error string, size long, " + ", ".join(f"{k} array<struct<{', '.join(f'{n}: {t}' for n, t in own)}>>" for k, own in FIELDS.items()) + ", content binary"
 
 
 def parse(sources: DataFrame) -> DataFrame:
-    """One row of facts a file, each file parsed once; facts of repeated contents are remembered within a task."""
-
-    def run(frames):
+    """One row of facts a file, with its content, each file parsed once; facts of repeated contents are remembered within a task."""
+    arrow = {"string": pa.string(), "long": pa.int64()}
+
+    def lists(kind: str, rows: list[list[tuple]]) -> pa.ListArray:
+        flat = [x for row in rows for x in row]
+        columns = list(zip(*flat, strict=True)) or [()] * len(FIELDS[kind])
+        struct = pa.StructArray.from_arrays([pa.array(c, arrow[t]) for c, (_, t) in zip(columns, FIELDS[kind], strict=True)], [n for n, _ in FIELDS[kind]])
+        offsets = [0]
+        for row in rows:
+            offsets.append(offsets[-1] + len(row))
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), struct)
+
+    def facts(path: str, lang: str, content: bytes | None, error: str | None, known: dict) -> tuple:
+        if content is None:
+            return error or "unreadable", 0, [], [], [], []
+        key = (lang, hashlib.sha256(content).digest())
+        if key not in known:
+            if len(known) > 1000:
+                known.clear()
+            f = extract(lang, content)
+            known[key] = (f.error, len(content), f.defs, f.calls, f.imports, f.routes)
+        return known[key]
+
+    def run(batches):
         known: dict[tuple[str, bytes], tuple] = {}
-        for pdf in frames:
-            out = []
-            for path, lang, content, error in zip(pdf["path"], pdf["lang"], pdf["content"], pdf["error"], strict=True):
-                if content is None:
-                    out.append((path, lang, error or "unreadable", 0, [], [], [], []))
-                    continue
-                key = (lang, hashlib.sha256(content).digest())
-                if key not in known:
-                    if len(known) > 1000:
-                        known.clear()
-                    f = extract(lang, bytes(content))
-                    known[key] = (f.error, len(content), f.defs, f.calls, f.imports, f.routes)
-                out.append((path, lang, *known[key]))
-            names = ["file", "lang", "error", "size", "defs", "calls", "imports", "routes"]
-            fields = {
-                "defs": ("kind", "name", "byte_start", "byte_end"),
-                "calls": ("name", "receiver", "byte_start"),
-                "imports": ("name", "module"),
-                "routes": ("method", "pattern", "handler_name", "byte_start", "byte_end", "handler_line"),
-            }
-            made = pd.DataFrame(out, columns=names)
-            for c, own in fields.items():
-                made[c] = [[dict(zip(own, x, strict=True)) for x in row] for row in made[c]]
-            yield made
-
-    return sources.select("path", "lang", "content", "error").mapInPandas(run, FACTS)
-
-
-def exploded(facts: DataFrame, what: str) -> DataFrame:
-    """Flat rows of one kind of fact: defs, calls, imports or routes."""
-    return facts.select("file", "lang", F.explode(what).alias("x")).select("file", "lang", "x.*")
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                columns = (part[c].to_pylist() for c in ("path", "lang", "content", "error"))
+                rows = [facts(*row, known) for row in zip(*columns, strict=True)]
+                error, size, *kinds = zip(*rows, strict=True)
+                made = [part["path"], part["lang"], pa.array(error, pa.string()), pa.array(size, pa.int64()), *(lists(k, list(own)) for k, own in zip(FIELDS, kinds, strict=True)), part["content"]]
+                yield pa.RecordBatch.from_arrays(made, ["file", "lang", "error", "size", *FIELDS, "content"])
+
+    return sources.select("path", "lang", "content", "error").mapInArrow(run, FACTS)

@@ -1,4 +1,7 @@
-"""The structured tools: one method an entry, answers as plain dicts, errors as answers."""
+"""The structured tools: one method an entry, answers as plain dicts, errors as answers.
+
+Fixed values, since clients know them by name: tools, their parameters, and the keys of answers.
+"""
 
 from __future__ import annotations
 
@@ -9,6 +12,7 @@ import warnings
 from collections.abc import Callable
 from typing import Any
 
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +22,7 @@ from .operators import etl, traverse
 from .plans.compiler import execute
 from .plans.errors import QueryError
 from .sources import repo
+from .sources import scip as wire
 from .sources.store import Store
 
 #: Properties of the schema answer.
@@ -28,16 +33,16 @@ PROPERTIES = {
 }
 
 
-def failed(tool: str, where: str, action: str) -> dict:
-    return {"error": f"{tool}: {where} — {action}".replace('"', "'")}
+def failed(tool: str, what: str, advice: str) -> dict:
+    return {"error": f"{tool}: {what} ({advice})".replace('"', "'")}
 
 
-def compiles(pattern: str) -> bool:
-    """Whether a pattern is one that the engine's regular expressions take."""
+def compiles(spark: SparkSession, pattern: str) -> bool:
+    """Whether a pattern is one that the engine's regular expressions take: those of the JVM."""
     try:
-        re.compile(pattern)
+        spark.sparkContext._jvm.java.util.regex.Pattern.compile(pattern)
         return True
-    except re.error:
+    except Py4JError:
         return False
 
 
@@ -46,7 +51,7 @@ def grep(sources: DataFrame, pattern: str, regex: bool = False, file_suffix: str
     rows = sources.select(F.col("path").alias("file"), F.col("content").cast("string").alias("text"))
     if file_suffix:
         rows = rows.where(F.endswith("file", F.lit(re.sub(r"^\*\.?", "", file_suffix) if file_suffix.startswith("*") else file_suffix)))
-    if path_filter and compiles(path_filter):
+    if path_filter and compiles(rows.sparkSession, path_filter):
         rows = rows.where(F.col("file").rlike(path_filter))
     text = F.regexp_replace("text", r"\r?\n\z", "")  # a closing line end starts no line
     lines = rows.where(F.col("text") != "").select("file", F.posexplode(F.split(text, "\r?\n", -1)).alias("line", "content"))
@@ -75,9 +80,9 @@ def search_nodes(graph: Graph, label: str | None = None, name_pattern: str | Non
     rows = graph.nodes
     if label is not None:
         rows = rows.where(F.lower("kind") == label.lower())
-    if name_pattern is not None and compiles(name_pattern):
+    if name_pattern is not None and compiles(rows.sparkSession, name_pattern):
         rows = rows.where(F.col("fqn").rlike(name_pattern))
-    if file_pattern is not None and compiles(file_pattern):
+    if file_pattern is not None and compiles(rows.sparkSession, file_pattern):
         rows = rows.where(F.col("file").rlike(file_pattern))
     if query is not None:
         rows = rows.where(F.contains(F.lower("fqn"), F.lit(query.lower())))
@@ -103,11 +108,11 @@ class Tools:
         """Run a tool; whatever goes wrong becomes an error answer."""
         entry = self.names().get(tool)
         if entry is None:
-            return failed(tool, "unknown tool", f"use one of {', '.join(self.names())}")
+            return failed(tool, "no such tool", f"there are {', '.join(self.names())}")
         try:
             return entry(**params)
         except Exception as e:  # noqa: BLE001  an answer, not a crash, is the tools' contract
-            return failed(tool, str(e).splitlines()[0], "check the parameters")
+            return failed(tool, str(e).splitlines()[0], "with the parameters " + ", ".join(sorted(params)))
 
     def call_json(self, tool: str, **params: Any) -> str:
         return json.dumps(self.call(tool, **params), default=str)
@@ -115,14 +120,16 @@ class Tools:
     def _ignored(self, tool: str, **params: Any) -> None:
         used = [k for k, v in params.items() if v is not None]
         if used:
-            warnings.warn(f"{tool}: {', '.join(used)} accepted but ignored", stacklevel=3)
+            warnings.warn(f"{tool} does not use {', '.join(used)}", stacklevel=3)
 
     def _missing(self, tool: str) -> dict | None:
-        return None if self.store.exists() else failed(tool, "not indexed", "run index_repository first")
+        return None if self.store.exists() else failed(tool, f"{self.project} has no index yet", "index_repository makes one")
 
-    def index_repository(self, repo_path: str | None = None, mode: str | None = None, target_projects: list | None = None, persistence: bool | None = None, rebuild: bool = False) -> dict:
+    def index_repository(self, repo_path: str | None = None, mode: str | None = None, target_projects: list | None = None, persistence: bool | None = None, rebuild: bool = False, scip: str | None = None) -> dict:
+        """`scip` is the path of a reference index, whose edges join the graph and follow it from then on."""
         self._ignored("index_repository", mode=mode, target_projects=target_projects, persistence=persistence)
-        report = etl.refresh(self.store, repo.read(self.spark, repo_path or self.root), rebuild)
+        occurrences = wire.read(self.spark, scip) if scip else None
+        report = etl.refresh(self.store, repo.read(self.spark, repo_path or self.root), rebuild, occurrences)
         return {"status": "indexed", "project": self.project, "root": self.root, **report}
 
     def search_graph(self, project: str | None = None, query: str | None = None, label: str | None = None, name_pattern: str | None = None, file_pattern: str | None = None, limit: int = 200, offset: int = 0, **ignored: Any) -> dict:
@@ -158,7 +165,7 @@ class Tools:
         first = starts.orderBy(unsigned_order(F.col("id"))).first()
         answer = {"function_name": function_name, "direction": direction, "depth": depth, "hops": []}
         if first is None:
-            return answer | {"message": f"no function named '{function_name}' — try search_graph first"}
+            return answer | {"message": f"nothing is called '{function_name}'; search_graph lists what there is"}
         reached = traverse.trace(graph, function_name, direction, depth, include_tests, by_start=starts.select("id"))
         hops = [r.asDict() for r in traverse.hops(graph, reached).collect()]
         return answer | {"function_name": first.fqn, "hops": hops, "hop_count": len(hops)}
@@ -174,9 +181,9 @@ class Tools:
         hit = graph.nodes.where((F.col("fqn") == qualified_name) | (short_name(F.col("fqn")) == qualified_name))
         found = hit.orderBy(unsigned_order(F.col("id"))).limit(101).collect()
         if not found:
-            return failed("get_code_snippet", f"no symbol '{qualified_name}'", "use search_graph to find it")
+            return failed("get_code_snippet", f"nothing is called '{qualified_name}'", "search_graph lists what there is")
         if len(found) > 1 and found[0].fqn != qualified_name:
-            return {"ambiguous": True, "suggestions": [r.fqn for r in found[:100]], "message": f"multiple matches for '{qualified_name}' — pass the full qualified_name"}
+            return {"ambiguous": True, "suggestions": [r.fqn for r in found[:100]], "message": f"'{qualified_name}' names {len(found)} definitions; one of the suggestions names one"}
         r = found[0]
         text = self.store.table("sources").where(F.col("path") == r.file)
         cut = text.select(etl.byte_slice(F.col("content"), F.lit(r.byte_start), F.lit(r.byte_end)).alias("s")).first()
@@ -203,8 +210,8 @@ class Tools:
         self._ignored("search_code", context=context)
         if (missing := self._missing("search_code")) is not None:
             return missing
-        if regex and not compiles(pattern):
-            return failed("search_code", f"bad pattern '{pattern}'", "check the regular expression")
+        if regex and not compiles(self.spark, pattern):
+            return failed("search_code", f"'{pattern}' is no regular expression", "without regex it is looked for as it stands")
         matches = grep(self.store.table("sources"), pattern, regex, file_pattern, path_filter).cache()
         total, limit = matches.count(), max(1, limit)
         results = [r.asDict() for r in search_code_results(matches, mode, limit).collect()]
@@ -215,17 +222,17 @@ class Tools:
 
     def list_projects(self) -> dict:
         if not self.store.exists():
-            return {"projects": [{"name": self.project, "root": self.root, "indexed": False, "message": "not indexed — run index_repository first"}]}
+            return {"projects": [{"name": self.project, "root": self.root, "indexed": False, "message": "no index yet"}]}
         return {"projects": [{"name": self.project, "root": self.root, "node_count": self.store.graph().nodes.count(), "indexed": True}]}
 
     def index_status(self, project: str | None = None) -> dict:
         if not self.store.exists():
-            return {"project": project or self.project, "status": "not_indexed", "message": "run index_repository to build the store"}
+            return {"project": project or self.project, "status": "not_indexed", "message": "no index yet; index_repository makes one"}
         graph = self.store.graph()
         return {"project": project or self.project, "status": "indexed", "node_count": graph.nodes.count(), "edge_count": graph.edges.count(), "store_path": self.store.path}
 
     def _stub(self, tool: str) -> dict:
-        return failed(tool, "not implemented", "this tool is reserved")
+        return failed(tool, "does nothing here", "its name is kept for clients that list it")
 
     def delete_project(self, **params: Any) -> dict:
         return self._stub("delete_project")

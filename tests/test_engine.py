@@ -1,6 +1,8 @@
 from __future__ import annotations
 
 import os
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -82,6 +84,33 @@ def test_refresh_equals_rebuild(spark, tree, tmp_path):
     assert set(map(tuple, store.graph().nodes.collect())) == set(map(tuple, fresh.graph().nodes.collect()))
 
 
+def test_names_are_resolved_again_where_they_changed(spark, tmp_path):
+    """What a change leaves out must not matter: after every step the store equals a rebuild, parts written together or not."""
+    root, rng = tmp_path / "p", random.Random(4)
+    root.mkdir()
+    store = Store(spark, str(tmp_path / "store"))
+    for step in range(10):
+        for i in range(6) if step == 0 else rng.sample(range(6), 2):
+            path = root / f"m{i}.rs"
+            if step and rng.random() < 0.25 and path.exists():
+                path.unlink()
+            else:
+                path.write_text("\n".join(f"fn f{rng.randrange(8)}() {{ f{rng.randrange(8)}(); f{rng.randrange(8)}() }}" for _ in range(3)))
+        report = etl.refresh(store, repo.read(spark, str(root)))
+        fresh = etl.graph_of(etl.facts_of(repo.read(spark, str(root))))
+        assert set(map(tuple, store.graph().nodes.collect())) == set(map(tuple, fresh.nodes.collect()))
+        assert set(map(tuple, store.graph().edges.collect())) == set(map(tuple, fresh.edges.collect()))
+        assert report["calls"] == fresh.edges.count() and len(store.state()["parts"]["facts"]) <= 8
+    assert len(store.manifests()) == 2
+
+
+def test_a_long_text_is_stopped(monkeypatch):
+    from callscape.sources import extract as module
+
+    monkeypatch.setattr(module, "lexical", lambda lang, data: re.match("(a+)+$", "a" * 40 + "b"))
+    assert extract("go", b"", seconds=0.2).error == "timeout"
+
+
 def test_tools(spark, tree):
     tools = Tools(spark, tree)
     assert tools.call("index_status")["status"] == "not_indexed"
@@ -93,7 +122,7 @@ def test_tools(spark, tree):
     assert [r["name"] for r in found["results"]] == ["b::bar"] and not found["has_more"]
     assert tools.call("search_graph", name_pattern="(", limit=1)["has_more"]
     assert tools.call("query_graph", query="MATCH (n:Route) RETURN n.fqn", max_rows=2)["total"] == 2
-    assert "does not support" in tools.call("query_graph", query="MATCH (n) RETURN count(n)")["error"]
+    assert "not in this query language" in tools.call("query_graph", query="MATCH (n) RETURN count(n)")["error"]
     traced = tools.call("trace_call_path", function_name="bar", direction="outbound")
     assert [(h["name"], h["depth"]) for h in traced["hops"]] == [("a::foo", 1)]
     assert tools.call("trace_path", function_name="nothing")["hops"] == []
@@ -153,6 +182,15 @@ def test_reference_index_to_edges(spark, tmp_path):
     edges, report = scip.scip_edges(found, spark.createDataFrame([("a.py", text)], "document string, text string"), nodes)
     assert edges_of(Graph(nodes, edges)) == {("a.bar", "a.foo", "SCIP")}
     assert report.first().asDict() == {"seen": 2, "emitted": 1, "skipped": 1}
+    root = tmp_path / "p"
+    root.mkdir()
+    (root / "a.py").write_text(text)
+    tools = Tools(spark, str(root))
+    assert tools.call("index_repository", scip=str(tmp_path / "i.scip"))["scip_edges"] == 1
+    assert ("a.bar", "a.foo", "SCIP") in edges_of(tools.store.graph())
+    (root / "b.py").write_text("x = 1\n")
+    assert tools.call("index_repository")["scip_edges"] == 1 and ("a.bar", "a.foo", "SCIP") in edges_of(tools.store.graph())
+    assert tools.call("index_repository", rebuild=True)["scip_edges"] == 0
 
 
 def test_scores(spark):

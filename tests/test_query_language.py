@@ -66,7 +66,7 @@ def test_json_lines_show_nulls(graph):
 
 @pytest.mark.parametrize("text", ["MATCH (a)-[*1..3]->(b) RETURN a", "MATCH (n) RETURN count(n)", "MATCH (n) WITH n RETURN n", "MATCH (n) WHERE n.set = 1 RETURN n", "MATCH p = (a)->(b) RETURN p", "MATCH (n) WHERE n.x IN n RETURN n", "OPTIONAL MATCH (n) RETURN n", "MATCH (a) MATCH (b) RETURN a"])
 def test_unsupported(text):
-    with pytest.raises(UnsupportedError, match="does not support"):
+    with pytest.raises(UnsupportedError, match="not in this query language"):
         parse(text)
 
 
