@@ -56,13 +56,13 @@ SHINGLE = 5
 #: The threshold as a ratio of whole numbers: PER * intersection >= LEAST * union.
 LEAST, PER = 80, 100
 #: Slots of the table of counts, and n-grams of a batch within which recurrence is counted.
-SLOTS, BATCH = 1 << 18, 6_000_000
+SLOTS, BATCH = 1 << 18, 2_000_000
 #: Sizes of a class differ by this factor at most.
 CLASS = 1.05
 #: N-grams of the sets that one part of a block, or one share of its probes, may hold, and entries of a table of probes by n-grams.
-PART, TABLE = 400_000, 1 << 25
+PART, TABLE = 400_000, 1 << 23
 #: Rows that are hashed together, and set keys that a task remembers, so as to give a set's n-grams once.
-ROWS, KEYS = 64, 500_000
+ROWS, KEYS = 64, 100_000
 
 
 def shingle_sets(texts: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -179,7 +179,8 @@ class Trie:
             if children:
                 stay = overlap + np.minimum(n[who] - overlap, high - depth) >= -(-LEAST * (n[who] + low) // (PER + LEAST))
                 if stay.any():
-                    todo += [(c, who[stay], overlap[stay]) for c in children]
+                    who, overlap = who[stay], overlap[stay]
+                    todo += [(c, who, overlap) for c in children]
         return out
 
 
