@@ -46,10 +46,10 @@ def short_index(defs: DataFrame) -> tuple[DataFrame, DataFrame]:
     "First" is least (file, start, kind); it does not depend on the order in which files were read.
     """
     order = F.struct("file", "byte_start", ordinal(F.col("kind"), NODE_KINDS).alias("rank"), "id")
-    named = defs.where(F.col("kind") != "File").select("file", last_segment(F.col("fqn")).alias("short"), "id", order.alias("order"))
-    in_file = named.groupBy("file", "short").agg(F.min_by("id", "order").alias("file_id"))
-    anywhere = named.groupBy("short").agg(F.min_by("id", "order").alias("any_id"))
-    return in_file, anywhere
+    named = defs.where(F.col("kind") != "File").select("file", last_segment(F.col("fqn")).alias("short"), order.alias("order"))
+    in_file = named.groupBy("file", "short").agg(F.min("order").alias("order"))
+    anywhere = in_file.groupBy("short").agg(F.min("order").alias("order"))
+    return in_file.select("file", "short", F.col("order.id").alias("file_id")), anywhere.select("short", F.col("order.id").alias("any_id"))
 
 
 def resolve(references: DataFrame, defs: DataFrame) -> DataFrame:
@@ -59,24 +59,6 @@ def resolve(references: DataFrame, defs: DataFrame) -> DataFrame:
     return found.withColumn("target_id", F.coalesce("file_id", "any_id")).drop("file_id", "any_id")
 
 
-def call_edges(calls: DataFrame, defs: DataFrame, files: DataFrame) -> DataFrame:
-    """CALLS edges (file, src, dst, kind): from the smallest definition around a call, else from its file, to what its name resolves to; no self edges."""
-    sites = calls.select("file", F.col("name").alias("short"), F.col("byte_start").alias("at")).distinct()
-    bound = resolve(sites, defs).where("target_id is not null")
-    around = enclosing(bound, defs)
-    by_file = files.select("file", F.col("id").alias("file_id"))
-    edges = around.join(by_file, "file", "left").select("file", F.coalesce("id_found", "file_id").alias("src"), F.col("target_id").alias("dst"), F.lit("CALLS").alias("kind"))
-    return edges.where("src is not null and src <> dst").distinct()
-
-
-def route_edges(routes: DataFrame, defs: DataFrame) -> DataFrame:
-    """ROUTES edges (file, src, dst, kind) from routes to their named handlers, found in the file first, then anywhere."""
-    fqn = F.concat_ws(" ", "method", "pattern")
-    named = routes.where("handler_name is not null").select("file", F.col("handler_name").alias("short"), node_id(F.col("file"), fqn, F.lit("Route"), F.col("byte_start")).alias("src"))
-    found = resolve(named, defs).where("target_id is not null")
-    return found.select("file", "src", F.col("target_id").alias("dst"), F.lit("ROUTES").alias("kind")).distinct()
-
-
 def facts_of(sources: DataFrame, only_defined: bool = False) -> DataFrame:
     """Parsed sources, a row a file with arrays of defs, calls, imports and routes.
 
@@ -104,9 +86,19 @@ def nodes_of(facts: DataFrame) -> DataFrame:
 
 
 def edges_of(facts: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Edges (file, src, dst, kind) from the given facts, resolved over all nodes."""
-    files, defs = nodes.where("kind = 'File'"), nodes.where("kind not in ('File', 'Route')")
-    return call_edges(exploded(facts, "calls"), defs, files).unionByName(route_edges(exploded(facts, "routes"), defs))
+    """CALLS and ROUTES edges (file, src, dst, kind) of the given facts, resolved over all nodes.
+
+    A call is made by the smallest definition around it, else by its file, and goes to what its name resolves to; a route goes to
+    its named handler. Both kinds of reference are resolved together. No call goes to its own source.
+    """
+    defs = nodes.where("kind not in ('File', 'Route')")
+    fqn = F.concat_ws(" ", "method", "pattern")
+    calls = exploded(facts, "calls").select("file", F.col("name").alias("short"), F.col("byte_start").alias("at"), F.lit(None).cast("long").alias("route"))
+    routes = exploded(facts, "routes").where("handler_name is not null").select("file", F.col("handler_name").alias("short"), F.lit(None).cast("long").alias("at"), node_id(F.col("file"), fqn, F.lit("Route"), F.col("byte_start")).alias("route"))
+    bound = resolve(calls.unionByName(routes), defs).where("target_id is not null")
+    whole = node_id(F.col("file"), F.col("file"), F.lit("File"), F.lit(0))
+    around = enclosing(bound, defs).select("file", F.coalesce("route", "id_found", whole).alias("src"), F.col("target_id").alias("dst"), F.when(F.col("route").isNull(), "CALLS").otherwise("ROUTES").alias("kind"))
+    return around.where("kind = 'ROUTES' or src <> dst").distinct()
 
 
 def graph_of(facts: DataFrame, more_edges: DataFrame | None = None) -> Graph:
@@ -123,10 +115,15 @@ def classify(previous: DataFrame, current: DataFrame) -> DataFrame:
 
     A current file without a hash could not be read and counts as modified.
     """
-    before = previous.select("path", F.col("content_hash").alias("old_hash"), F.lit(True).alias("was"))
-    now = current.select("path", F.col("content_hash").alias("new_hash"), F.lit(True).alias("is"))
-    status = F.when(F.col("was").isNull(), "new").when(F.col("is").isNull(), "deleted").when(F.col("old_hash") == F.col("new_hash"), "unchanged").otherwise("modified")
-    return before.join(now, "path", "full_outer").select("path", status.alias("status"))
+    return compared(previous, current).select("path", "status")
+
+
+def compared(previous: DataFrame, current: DataFrame) -> DataFrame:
+    """Every file of then or now with its status, and all other columns of both."""
+    before = previous.withColumnRenamed("content_hash", "old_hash").withColumn("was", F.lit(True))
+    now = current.withColumn("is", F.lit(True))
+    status = F.when(F.col("was").isNull(), "new").when(F.col("is").isNull(), "deleted").when(F.col("old_hash") == F.col("content_hash"), "unchanged").otherwise("modified")
+    return before.join(now, "path", "full_outer").withColumn("status", status).drop("was", "is", "old_hash")
 
 
 def change_counts(status: DataFrame) -> DataFrame:
@@ -150,15 +147,12 @@ def _status(current: DataFrame, store: Store, state: dict | None) -> DataFrame:
     now = current.select("path", F.unhex(F.sha2("content", 256)).alias("content_hash"), "mtime_ns", "lang")
     if state is None:
         return now.select("*", F.lit("new").alias("status"), F.lit(None).cast("long").alias("version"), F.lit(None).cast("long").alias("edge_version"))
-    before = store.whole("files", state)
-    status = classify(before, now)
-    return status.join(now, "path", "left").join(before.select("path", "version", "edge_version"), "path", "left").select("path", "content_hash", "mtime_ns", "lang", "status", "version", "edge_version")
+    return compared(store.whole("files", state).select("path", "content_hash", "version", "edge_version"), now)
 
 
-def _touched(facts: DataFrame, changed: DataFrame, old_nodes: DataFrame, fresh_nodes: DataFrame) -> DataFrame:
-    """Files whose edges may change: those that did, and those that call, or route to, a name that changed files have or had."""
-    gone = old_nodes.join(changed.withColumnRenamed("path", "file"), "file", "left_semi")
-    names = gone.unionByName(fresh_nodes).where("kind not in ('File', 'Route')").select(last_segment(F.col("fqn")).alias("name")).distinct()
+def _touched(facts: DataFrame, changed: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Files whose edges may change: those that did, and those that call, or route to, a name of the nodes that changed files have or had."""
+    names = nodes.where("kind not in ('File', 'Route')").select(last_segment(F.col("fqn")).alias("name")).distinct()
     uses = exploded(facts, "calls").select("file", "name").unionByName(exploded(facts, "routes").select("file", F.col("handler_name").alias("name")))
     return uses.join(names, "name", "left_semi").select("file").unionByName(changed.select(F.col("path").alias("file"))).distinct()
 
@@ -183,14 +177,14 @@ def refresh(store: Store, sources: DataFrame, rebuild: bool = False, occurrences
         current = hold(sources)
         status = hold(_status(current, store, state))
         tally = (F.count_if(F.col("status") == s).alias(s) for s in ("new", "unchanged", "modified", "deleted"))
-        report = status.agg(*tally, F.sort_array(F.collect_set(F.when(F.col("status") != "deleted", F.col("lang")))).alias("languages_seen")).first().asDict()
+        report = status.agg(*tally, F.sort_array(F.collect_set("lang")).alias("languages_seen")).first().asDict()
         if state and occurrences is None and not (report["new"] or report["modified"] or report["deleted"]):
             return report | state["counts"]
         changed = status.where("status <> 'unchanged'").select("path")
         compact = state is None or len(state["parts"]["facts"]) >= FAN
         parts = {name: [] if compact else list(state["parts"][name]) for name in PARTED}
-        stay = status.where("status = 'unchanged'").select(F.col("path").alias("file"))
-        kept = lambda name: store.live(name, state).join(stay, "file", "left_semi")
+        stay = status.where("status = 'unchanged'")
+        kept = lambda name: store.live(name, state, stay)
 
         def add(name: str, fresh: DataFrame, rest: DataFrame | None = None) -> DataFrame:
             """Store a part: the fresh rows, and where parts are written together the rest."""
@@ -202,7 +196,7 @@ def refresh(store: Store, sources: DataFrame, rebuild: bool = False, occurrences
             facts = add("facts", facts_of(current))
             nodes = add("nodes", nodes_of(facts))
             add("edges", edges_of(facts, nodes))
-            touched = stay
+            touched = stay.select(F.col("path").alias("file"))
         else:
             old_facts, old_nodes = kept("facts"), kept("nodes")
             fresh = facts_of(current.join(changed, "path", "left_semi"))
@@ -212,9 +206,10 @@ def refresh(store: Store, sources: DataFrame, rebuild: bool = False, occurrences
             part = add("nodes", nodes_of(fresh), old_nodes)
             own = part.join(changed.withColumnRenamed("path", "file"), "file", "left_semi")
             nodes = hold(own.unionByName(old_nodes.select(*own.columns)))
-            touched = hold(_touched(facts, changed, store.live("nodes", state), own))
+            gone = store.live("nodes", state, status.where("status <> 'unchanged' and version is not null"))
+            touched = hold(_touched(facts, changed, gone.unionByName(own)))
             some = hold(facts.join(touched, "file", "left_semi").select("file", "lang", "calls", "routes"))
-            add("edges", edges_of(some, nodes), store.live("edges", state).join(stay, "file", "left_semi").join(touched, "file", "left_anti"))
+            add("edges", edges_of(some, nodes), kept("edges").join(touched, "file", "left_anti"))
         again = touched.select(F.col("file").alias("path"), F.lit(True).alias("again"))
         version = F.lit(number).cast("long")
         fresh_edges = F.lit(compact) | (F.col("status") != "unchanged") | F.col("again").isNotNull()

@@ -79,7 +79,7 @@ def read(spark: SparkSession, root: str, partitions: int | None = None) -> DataF
     """The source files of a tree with their contents; unreadable ones have an error and no content."""
     listed = list(walk(root))
     paths = spark.createDataFrame(pd.DataFrame(listed, columns=["path", "lang", "mtime_ns"]), "path string, lang string, mtime_ns long") if listed else spark.createDataFrame([], "path string, lang string, mtime_ns long")
-    paths = paths.repartition(partitions or max(1, min(len(listed) // 50 + 1, 4 * spark.sparkContext.defaultParallelism)), "path")
+    paths = paths.repartition(partitions or max(1, min(len(listed) // 250 + 1, 4 * spark.sparkContext.defaultParallelism)), "path")
 
     def load(batches):
         for batch in batches:

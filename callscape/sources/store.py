@@ -91,18 +91,18 @@ class Store:
         state = state or self._known()
         return self.part(state["tables"][name]) if name in state["tables"] else None
 
-    def live(self, name: str, state: dict | None = None) -> DataFrame:
-        """The rows of a table in parts that count."""
+    def live(self, name: str, state: dict | None = None, files: DataFrame | None = None) -> DataFrame:
+        """The rows of a table in parts that count, of all files or of those among `files` (records with both versions)."""
         state = state or self._known()
         parts = state["parts"][name]
-        if len(parts) == 1:
+        if len(parts) == 1 and files is None:
             return self.part(parts[0][1])
         rows = None
         for version, folder in parts:
             own = self.part(folder).withColumn("version", F.lit(version).cast("long"))
             rows = own if rows is None else rows.unionByName(own)
-        files = self.whole("files", state).select(F.col("path").alias("file"), F.col(PARTED[name]).alias("version"))
-        return rows.join(files, ["file", "version"], "left_semi").drop("version")
+        files = self.whole("files", state) if files is None else files
+        return rows.join(files.select(F.col("path").alias("file"), F.col(PARTED[name]).alias("version")), ["file", "version"], "left_semi").select(*(c for c in rows.columns if c != "version"))
 
     def _known(self) -> dict:
         if (state := self.state()) is None:

@@ -13,6 +13,7 @@ from collections.abc import Callable
 from typing import Any
 
 from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -42,7 +43,7 @@ def compiles(spark: SparkSession, pattern: str) -> bool:
     try:
         spark.sparkContext._jvm.java.util.regex.Pattern.compile(pattern)
         return True
-    except Py4JError:
+    except (Py4JError, PySparkException):
         return False
 
 
