@@ -125,7 +125,7 @@ def walk(ids, x, points, sizes, q, q_ids, k: int, top: float, quantile: float, d
     return hits
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int, dims: int = 8, sure: float = 0.96, seed: int = 1) -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int, dims: int = 16, sure: float = 0.9, seed: int = 1) -> DataFrame:
     """The k nearest found for each query: query_id, rank, vec_id, score."""
     data = blocks(vectors, None, "vectors")
     norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, v: a + v * v))
