@@ -540,7 +540,7 @@ def test_no_link_is_lost(spark):
     for seed in range(50):
         want |= brute_components({i: t for i, t in texts.items() if i // 1000 == seed})
     rows = [(i, t, None, None, 0.5, "x") for i, t in texts.items()]
-    for slices in (4, 64):
+    for slices in (4, 16):
         df = spark.createDataFrame(spark.sparkContext.parallelize(rows, slices), DOCS)
         assert {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join(df).collect()} == want
 
