@@ -12,7 +12,7 @@ import __spark_entry__ as entry
 from callscape.queries import ORACLE_SQL, QUERIES, TABLES
 
 DATA = "/root/testdata/sf0.001"
-SOME = ["b1_project_properties", "c9_and_or", "d1_expand_out", "d3_undirected_strict", "f7_distinct_edges", "e9_trace_outbound", "d14_trace_both", "j2_search_graph", "j9_search_code_full", "h1_classify_changes", "fq_prefixes", "d8_enclosing_definition", "i3_positional_f1", "a18_edge_pairs", "d13_sweep_edges"]
+SOME = ["b1_project_properties", "d4_three_hops", "h18_call_edges", "h23_route_edges", "h33_refreshed_edges", "j4_trace_path", "h28_scip_edges", "i6_edge_pair_f1", "e6_architecture", "c9_and_or", "d1_expand_out", "d3_undirected_strict", "f7_distinct_edges", "e9_trace_outbound", "d14_trace_both", "j2_search_graph", "j9_search_code_full", "h1_classify_changes", "fq_prefixes", "d8_enclosing_definition", "i3_positional_f1", "a18_edge_pairs", "d13_sweep_edges"]
 pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
 
 
