@@ -33,26 +33,30 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-#: Spark's setting by which a statement drops its own shuffle files as it ends.
-DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: What holds while a step is stored: its shuffle files go with the statement that wrote them, since what it stores is all that later
+#: steps read, and Python workers get their rows in batches of few bytes, which bounds buffers on both sides.
+STORING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
 
 
 @contextmanager
-def dropping_shuffles(spark: SparkSession) -> Iterator[None]:
-    """Within it, shuffle files go with the statement that wrote them: what it stores is all that later steps read."""
-    before = spark.conf.get(DROP_SHUFFLES)
-    spark.conf.set(DROP_SHUFFLES, "true")
+def storing(spark: SparkSession, **more: str) -> Iterator[None]:
+    """The settings of `STORING`, and `more` of spark.sql, as long as it lasts."""
+    wanted = STORING | {f"spark.sql.{k}": v for k, v in more.items()}
+    before = {k: spark.conf.get(k) for k in wanted}
     try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
         yield
     finally:
-        spark.conf.set(DROP_SHUFFLES, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage: write a frame to the shared folder as Parquet and read it again."""
     spark = df.sparkSession
     path = shared_dir(spark, name)
-    with dropping_shuffles(spark):
+    with storing(spark):
         df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

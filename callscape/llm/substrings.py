@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import dropping_shuffles, materialize, release, shared_dir, split_by_filter, table
+from .shared import materialize, release, shared_dir, split_by_filter, storing, table
 from .words import bounds, mix, sequences, word_hashes
 
 WINDOW, ANCHOR = 50, 25
@@ -125,13 +125,8 @@ class FingerprintIndex:
         """Store (h, lo, hi), which are dealt out by h into as many parts as there are buckets, as a run."""
         name = f"run-{uuid.uuid4().hex}"
         self.run(name)
-        before = self.spark.conf.get("spark.sql.shuffle.partitions")
-        self.spark.conf.set("spark.sql.shuffle.partitions", str(self.buckets))  # the aggregation's shuffle is the one into buckets
-        try:
-            with dropping_shuffles(self.spark):
-                rows.write.insertInto(self.tables[name])
-        finally:
-            self.spark.conf.set("spark.sql.shuffle.partitions", before)
+        with storing(self.spark, **{"shuffle.partitions": str(self.buckets)}):  # the aggregation's shuffle is the one into buckets
+            rows.write.insertInto(self.tables[name])
         return name
 
     def append(self, batch: DataFrame) -> DataFrame:
