@@ -225,3 +225,19 @@ def test_streaming_refresh(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert edges_of(store.graph()) == set()
+
+
+def test_a_table_in_one_piece_is_dealt_out(spark):
+    files = spark.range(64, numPartitions=1).select(F.concat(F.lit("m"), "id", F.lit(".py")).alias("path"), F.lit("def f(): pass\n").alias("content"))
+    facts = etl.facts_of(repo.from_frame(files))
+    assert facts.select("file", F.spark_partition_id().alias("p")).where("p > 0").count() > 0 and facts.count() == 64
+
+
+def test_no_pattern_is_compiled_for_a_name(monkeypatch):
+    text = lambda k: f"int f{k}() {{ return f{k}(); }} class S{k} {{ int m{k}() {{ return new f{k}(); }} }}\n".encode()
+    extract("java", text(0))
+    made = []
+    kept = re._compiler.compile
+    monkeypatch.setattr(re._compiler, "compile", lambda p, flags=0: made.append(p) or kept(p, flags))
+    facts = extract("java", text(12345))
+    assert [d[1] for d in facts.defs] == ["S12345", "f12345", "m12345"] and made == []
