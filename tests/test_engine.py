@@ -241,3 +241,27 @@ def test_no_pattern_is_compiled_for_a_name(monkeypatch):
     monkeypatch.setattr(re._compiler, "compile", lambda p, flags=0: made.append(p) or kept(p, flags))
     facts = extract("java", text(12345))
     assert [d[1] for d in facts.defs] == ["S12345", "f12345", "m12345"] and made == []
+
+
+class Held:
+    """Stands for the store of a graph that is there."""
+
+    def __init__(self, graph):
+        self.graph = lambda: graph
+
+    def exists(self):
+        return True
+
+
+@pytest.fixture(scope="module")
+def wide(spark):
+    """Tools over more nodes and edges than the row cap."""
+    nodes = spark.range(100_050).select(F.xxhash64("id").alias("id"), F.concat(F.lit("n"), "id").alias("fqn"), F.lit("Class").alias("kind"), F.lit("f").alias("file"), F.lit(0).cast("long").alias("byte_start"), F.lit(1).cast("long").alias("byte_end")).cache()
+    tools = Tools(spark, "/p", "/tmp/none")
+    tools.store = Held(Graph(nodes, nodes.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit("CALLS").alias("kind"))))
+    return tools
+
+
+def test_whole_answers_beyond_the_row_cap(wide):
+    assert wide.query_rows("MATCH (a)-[:CALLS]->(b) RETURN a.fqn AS src, b.fqn AS dst").count() == 100_050
+    assert "row cap" in wide.call("query_graph", query="MATCH (n) RETURN n.fqn")["error"]
