@@ -265,3 +265,9 @@ def wide(spark):
 def test_whole_answers_beyond_the_row_cap(wide):
     assert wide.query_rows("MATCH (a)-[:CALLS]->(b) RETURN a.fqn AS src, b.fqn AS dst").count() == 100_050
     assert "row cap" in wide.call("query_graph", query="MATCH (n) RETURN n.fqn")["error"]
+
+
+def test_max_rows_beyond_the_row_cap(wide):
+    for n in (0, 7):
+        assert wide.call("query_graph", query="MATCH (n:Class) RETURN n.fqn", max_rows=n)["total"] == n
+    assert "row cap" in wide.call("query_graph", query="MATCH (n) RETURN n.fqn", max_rows=-1)["error"]
