@@ -271,3 +271,16 @@ def test_max_rows_beyond_the_row_cap(wide):
     for n in (0, 7):
         assert wide.call("query_graph", query="MATCH (n:Class) RETURN n.fqn", max_rows=n)["total"] == n
     assert "row cap" in wide.call("query_graph", query="MATCH (n) RETURN n.fqn", max_rows=-1)["error"]
+
+
+def test_pages_sort_only_what_they_touch(wide):
+    from callscape.model import unsigned_order
+    from callscape.tools import page_of
+
+    rows = wide.store.graph().nodes
+    ids = [r.id for r in rows.orderBy(unsigned_order(F.col("id"))).select("id").collect()]
+    for offset, limit in ((0, 5), (24, 2), (49_990, 60), (100_045, 9), (100_050, 5), (10**6, 5)):
+        page, total = page_of(rows, offset, limit)
+        assert total == 100_050 and [r.id for r in page.select("id").collect()] == ids[offset : offset + limit]
+    sorted_rows = page_of(rows, 90_000, 5)[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "shiftright" in sorted_rows
