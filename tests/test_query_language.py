@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 from callscape.model import EDGES, NODES, Graph
 from callscape.plans.compiler import compile_query, execute, json_lines
@@ -93,3 +94,14 @@ def test_filters_reach_the_scan(spark, tmp_path, graph):
     plan = compile_query(stored, "MATCH (n:Function) WHERE n.byte_start > 7 RETURN n.fqn")._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(kind,Function)" in plan and "GreaterThan(byte_start,7)" in plan
     assert "byte_end" not in plan and "file" not in plan.split("ReadSchema")[1]
+
+
+def test_a_node_with_many_edges_is_no_single_task(spark, monkeypatch):
+    """Rows that meet at one node leave it in many partitions, each once."""
+    monkeypatch.setattr("callscape.plans.compiler.WIDE", 20)
+    nodes = spark.range(301).select("id", F.concat(F.lit("n"), "id").alias("fqn"), F.when(F.col("id") == 0, "Module").otherwise("Struct").alias("kind"), F.lit("f").alias("file"), F.lit(0).cast("long").alias("byte_start"), F.lit(1).cast("long").alias("byte_end"))
+    edges = spark.range(1, 301).select(F.col("id").alias("src"), F.lit(0).cast("long").alias("dst"), F.lit("SCIP").alias("kind"))
+    out = compile_query(Graph(nodes, edges), "MATCH (a:Struct)-[:SCIP]->(b)<-[:SCIP]-(c:Struct) RETURN a.id, c.id")
+    assert out.count() == out.distinct().count() == 300 * 300
+    sizes = out.toDF("a", "c").rdd.mapPartitions(lambda part: [sum(1 for _ in part)]).collect()
+    assert sum(sizes) == 90_000 and max(sizes) < 45_000
