@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from callscape.functions import names
-from callscape.model import Graph
+from callscape.model import NODES, Graph
 from callscape.operators import etl, evaluate, scip, traverse
 from callscape.sources import repo
 from callscape.sources import scip as wire
@@ -47,6 +47,19 @@ def edges_of(graph: Graph) -> set[tuple[str, str, str]]:
     return {tuple(r) for r in graph.edges.join(n("src"), "src").join(n("dst"), "dst").select("src_fqn", "dst_fqn", "kind").collect()}
 
 
+def test_name_resolution_shuffles_definitions_once(spark, tmp_path):
+    spark.createDataFrame([(1, "a.f", "Function", "a", 0, 9), (2, "b.f", "Function", "b", 0, 9)], NODES).write.parquet(f"{tmp_path}/nodes")
+    spark.createDataFrame([("b", "f", 3), ("c", "f", 4), ("c", "g", 5)], "file string, short string, at long").write.parquet(f"{tmp_path}/uses")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = etl.resolve(spark.read.parquet(f"{tmp_path}/uses"), spark.read.parquet(f"{tmp_path}/nodes"))
+        assert {(r.at, r.target_id) for r in found.collect()} == {(3, 2), (4, 1), (5, None)}
+        plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        assert plan.count("ReusedExchange") == 1
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_walk_keeps_underscores_and_skips_ignored(tree):
     found = [p for p, _, _ in repo.walk(tree)]
     assert "lib/__init__.py" in found and "skip/out.py" not in found and ".hidden.py" not in found and "readme.md" not in found
