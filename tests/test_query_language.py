@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -47,6 +49,11 @@ def test_rows(graph, text, expected):
     assert [r[0] for r in rows(graph, text)] == expected
 
 
+def test_distinct_edges_have_stored_ids_as_keys(graph):
+    plan = compile_query(graph, "MATCH (a)-[r]->(b) RETURN DISTINCT r")._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"Aggregate \[k0#\d+L, k1#\d+L\]", plan)  # not a struct of unsigned numbers
+
+
 def test_distinct_edges_ignore_their_kind(graph):
     found = rows(graph, "MATCH (a)-[r]->(b) RETURN DISTINCT r")
     assert sorted((int(r[0]["from"]), r[0]["kind"]) for r in found) == [(3, "CALLS"), (4, "CALLS")]
